@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from planloom.llm import quality_rules
+from planloom.llm import mixing, quality_rules
 
 QUERIES = {
     "op4_quality_rules": quality_rules.query,
+    "op8_mixing": mixing.query,
 }
 
 SQL = {
     "op4_quality_rules": quality_rules.SQL,
+    "op8_mixing": mixing.SQL,
 }
