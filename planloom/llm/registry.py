@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from planloom.llm import mixing, quality_rules
+from planloom.llm import mixing, quality_rules, toxicity
 
 QUERIES = {
     "op4_quality_rules": quality_rules.query,
+    "op7_toxicity": toxicity.query,
     "op8_mixing": mixing.query,
 }
 
+#: Those that SQL can express.
 SQL = {
     "op4_quality_rules": quality_rules.SQL,
     "op8_mixing": mixing.SQL,
