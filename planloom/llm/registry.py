@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from planloom.llm import mixing, quality_rules, toxicity
+from planloom.llm import mixing, quality_classifier, quality_rules, toxicity, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.query,
     "op4_quality_rules": quality_rules.query,
     "op7_toxicity": toxicity.query,
     "op8_mixing": mixing.query,
+    "op9_quality_classifier": quality_classifier.query,
 }
 
 #: Those that SQL can express.
