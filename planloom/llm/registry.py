@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from planloom.llm import mixing, quality_classifier, quality_rules, simhash, toxicity, url_filter
+from planloom.llm import mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_simhash": simhash.query,
+    "op3_sentencepiece": sentencepiece_codec.query,
     "op4_quality_rules": quality_rules.query,
     "op7_toxicity": toxicity.query,
     "op8_mixing": mixing.query,
