@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from planloom.llm import mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, toxicity, url_filter
+from planloom.llm import mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_simhash": simhash.query,
     "op3_sentencepiece": sentencepiece_codec.query,
     "op4_quality_rules": quality_rules.query,
+    "op5_warc": warc.query,
     "op7_toxicity": toxicity.query,
     "op8_mixing": mixing.query,
     "op9_quality_classifier": quality_classifier.query,
@@ -17,5 +18,6 @@ QUERIES = {
 #: Those that SQL can express.
 SQL = {
     "op4_quality_rules": quality_rules.SQL,
+    "op5_warc": warc.SQL,
     "op8_mixing": mixing.SQL,
 }
