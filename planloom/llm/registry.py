@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from planloom.llm import mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, toxicity, url_filter, warc
+from planloom.llm import ann, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sentencepiece": sentencepiece_codec.query,
     "op4_quality_rules": quality_rules.query,
     "op5_warc": warc.query,
+    "op6_ann": ann.query,
     "op7_toxicity": toxicity.query,
     "op8_mixing": mixing.query,
     "op9_quality_classifier": quality_classifier.query,
