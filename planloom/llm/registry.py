@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from planloom.llm import ann, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, toxicity, url_filter, warc
+from planloom.llm import ann, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_toxicity": toxicity.query,
     "op8_mixing": mixing.query,
     "op9_quality_classifier": quality_classifier.query,
+    "op10_substring_dedup": substring_dedup.query,
 }
 
 #: Those that SQL can express.
