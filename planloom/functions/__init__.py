@@ -1 +1,122 @@
-"""TODO"""
+"""Functions of the dialect: built-ins as native expressions, and user-defined scalar, aggregate and table functions.
+
+A scalar function runs over Arrow batches; an aggregate one gets whole columns (as pandas Series) of its group; an
+incremental one is a reducer (init, update, finalize). Scalar and aggregate names must not collide.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Any
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+class FunctionError(ValueError):
+    """An unknown function, a wrong number of arguments, or a name that is taken."""
+
+
+@dataclass(frozen=True)
+class ScalarFunction:
+    name: str
+    nargs: int
+    build: Callable[..., Column]
+    kind: str  # of the result: num, str, bool
+
+
+@dataclass(frozen=True)
+class AggregateFunction:
+    """native: a Spark aggregate expression; otherwise a grouped-aggregate pandas UDF, which stands alone in its agg()."""
+
+    name: str
+    nargs: int
+    build: Callable[..., Column]
+    native: bool = True
+
+
+@dataclass(frozen=True)
+class TableFunction:
+    """build: (SparkSession, *constants) -> DataFrame."""
+
+    name: str
+    nargs: int
+    build: Callable[..., Any]
+
+
+def _spread(x: Column) -> Column:
+    return F.stddev_pop(x)
+
+
+BUILT_IN = (
+    ScalarFunction("lower", 1, lambda s: F.lower(s.cast("string")), "str"),
+    ScalarFunction("upper", 1, lambda s: F.upper(s.cast("string")), "str"),
+    AggregateFunction("count", 1, lambda x: F.count(F.lit(1))),
+    AggregateFunction("sum", 1, F.sum),
+    AggregateFunction("avg", 1, F.avg),
+    AggregateFunction("std", 1, _spread),
+    AggregateFunction("stdev", 1, _spread),
+)
+
+
+class Registry:
+    def __init__(self):
+        self._known: dict[str, ScalarFunction | AggregateFunction | TableFunction] = {}
+        for f in BUILT_IN:
+            self.add(f)
+
+    def add(self, function: ScalarFunction | AggregateFunction | TableFunction) -> None:
+        old = self._known.get(function.name)
+        if old is not None and type(old) is not type(function):
+            raise FunctionError(f"{function.name} is already a {type(old).__name__}")
+        self._known[function.name] = function
+
+    def __contains__(self, name: str) -> bool:
+        return name in self._known
+
+    def get(self, name: str, nargs: int):
+        f = self._known.get(name)
+        if f is None:
+            raise FunctionError(f"no function is named {name}")
+        if f.nargs != nargs:
+            raise FunctionError(f"{name} takes {f.nargs} arguments, not {nargs}")
+        return f
+
+    def is_aggregate(self, name: str) -> bool:
+        return isinstance(self._known.get(name), AggregateFunction)
+
+    def scalar(self, name: str, nargs: int, f: Callable, returns: str = "double") -> None:
+        """Register f, called for each row."""
+        spark_f = F.udf(f, returns, useArrow=True)
+        self.add(ScalarFunction(name, nargs, spark_f, "str" if returns == "string" else "bool" if returns == "boolean" else "num"))
+
+    def vectorised(self, name: str, nargs: int, f: Callable, returns: str = "double") -> None:
+        """Register f, called with pandas Series of a batch of rows."""
+        import pandas as pd
+
+        one = {1: lambda a: f(a), 2: lambda a, b: f(a, b), 3: lambda a, b, c: f(a, b, c)}[nargs]
+        one.__annotations__ = dict.fromkeys("abc"[:nargs], pd.Series) | {"return": pd.Series}  # whatever f's own say
+        self.add(ScalarFunction(name, nargs, F.pandas_udf(one, returns), "str" if returns == "string" else "bool" if returns == "boolean" else "num"))
+
+    def aggregate(self, name: str, nargs: int, f: Callable, returns: str = "double") -> None:
+        """Register f, called with the columns of a group as pandas Series."""
+        import pandas as pd
+
+        one = {1: lambda a: f(a), 2: lambda a, b: f(a, b), 3: lambda a, b, c: f(a, b, c)}[nargs]
+        one.__annotations__ = dict.fromkeys("abc"[:nargs], pd.Series) | {"return": float}
+        self.add(AggregateFunction(name, nargs, F.pandas_udf(one, returns), native=False))
+
+    def incremental(self, name: str, nargs: int, init: Callable, update: Callable, finalize: Callable, returns: str = "double") -> None:
+        """Register a reducer: update(state, *values) over a group's rows, from init(), then finalize(state)."""
+
+        def reduce(*columns):
+            state = init()
+            for values in zip(*columns, strict=True):
+                state = update(state, *values)
+            return finalize(state)
+
+        self.aggregate(name, nargs, reduce, returns)
+
+    def table(self, name: str, nargs: int, build: Callable) -> None:
+        self.add(TableFunction(name, nargs, build))

@@ -1 +1,126 @@
-"""TODO"""
+"""The catalog: named tables over CSV, Parquet, pandas and DataFrames, with statistics on demand."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SEPARATORS = (",", "|", "\t")
+
+
+class UnknownTable(KeyError):
+    pass
+
+
+def kind_of(t: T.DataType) -> str:
+    """num, str, bool or date; anything else is opaque."""
+    if isinstance(t, T.NumericType):
+        return "num"
+    if isinstance(t, T.StringType):
+        return "str"
+    return "bool" if isinstance(t, T.BooleanType) else "date" if isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "any"
+
+
+@dataclass
+class Stats:
+    """A table's cardinality, and a column's minimum, maximum and number of distinct values, each computed once."""
+
+    df: DataFrame
+    _card: int | None = None
+    _columns: dict[str, dict] = field(default_factory=dict)
+
+    @property
+    def card(self) -> int:
+        if self._card is None:
+            self._card = self.df.count()
+        return self._card
+
+    def column(self, name: str) -> dict:
+        if name not in self._columns:
+            c = F.col(f"`{name}`")
+            row = self.df.agg(F.min(c).alias("min"), F.max(c).alias("max"), F.count_distinct(c).alias("ndistinct")).first()
+            self._columns[name] = row.asDict()
+        return self._columns[name]
+
+
+class Catalog:
+    """views: whether each table is a temporary view of the session too."""
+
+    def __init__(self, spark: SparkSession, views: bool = True):
+        self.spark, self.views = spark, views
+        self._tables: dict[str, DataFrame] = {}
+        self._stats: dict[str, Stats] = {}
+
+    # registration
+
+    def register(self, name: str, df: DataFrame) -> None:
+        self._tables[name] = df
+        self._stats[name] = Stats(df)
+        if self.views and re.fullmatch(r"\w+", name):
+            df.createOrReplaceTempView(name)
+
+    def register_pandas(self, name: str, frame) -> None:
+        self.register(name, self.spark.createDataFrame(frame))
+
+    def register_rows(self, name: str, rows: list[dict]) -> None:
+        """From dictionaries that share their keys."""
+        self.register(name, self.spark.createDataFrame([tuple(r.values()) for r in rows], list(rows[0])))
+
+    def register_csv(self, path: str, name: str | None = None, schema: str | None = None) -> str:
+        """A CSV file or folder with a header, separated by a comma, a bar or a tab, whichever its header has.
+
+        A column without a name is a row number and is dropped. Types are inferred from all rows unless given; empty
+        cells are null.
+        """
+        first = self.spark.read.text(path).limit(1).collect()
+        header = first[0][0] if first else ""
+        sep = max(SEPARATORS, key=header.count)
+        reader = self.spark.read.option("header", True).option("sep", sep)
+        df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+        df = df.drop(*[c for c, h in zip(df.columns, header.split(sep), strict=False) if not h.strip()])
+        name = name or re.sub(r"\.\w+$", "", path.rstrip("/").rsplit("/", 1)[-1])
+        self.register(name, df)
+        return name
+
+    def crawl_csv(self, root: str) -> list[str]:
+        """Register every *.csv under root, by its stem; of equal stems the last path in order holds.
+
+        The files are listed by Hadoop's file system, so root may be in any store that Spark reads.
+        """
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(root)
+        files, found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+        while files.hasNext():
+            f = files.next().getPath().toString()
+            if f.endswith(".csv"):
+                found.append(f)
+        return [self.register_csv(f) for f in sorted(found)]
+
+    def register_parquet(self, path: str, name: str | None = None) -> str:
+        name = name or re.sub(r"\.parquet$", "", path.rstrip("/").rsplit("/", 1)[-1])
+        self.register(name, self.spark.read.parquet(path))
+        return name
+
+    # lookup
+
+    def __contains__(self, name: str) -> bool:
+        return name in self._tables
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            raise UnknownTable(name)
+        return self._tables[name]
+
+    @property
+    def names(self) -> list[str]:
+        return list(self._tables)
+
+    def schema(self, name: str) -> list[tuple[str, str]]:
+        return [(f.name, kind_of(f.dataType)) for f in self[name].schema]
+
+    def stats(self, name: str) -> Stats:
+        self[name]
+        return self._stats[name]
