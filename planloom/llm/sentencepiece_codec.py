@@ -38,7 +38,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONG = 192
 UNITS_AT_ONCE = 4096
-CACHE_UNITS = 300_000
+CACHE_UNITS = 500_000
 UNKNOWN_PENALTY = 10.0
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNIGRAM, _BPE = 1, 2
@@ -103,6 +103,8 @@ class Codec:
         keys = np.array([self._key(p) for p in own], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array([v.index[p] for p in own], np.int32)[order]
+        self.maybe = np.zeros(1 << 20, bool)  # by the keys' highest bits, so that few substrings are searched for
+        self.maybe[self.keys >> np.uint64(44)] = True
         several = {c for p in own if len(p) > 1 for c in p}
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in own)
         lone = "".join(re.escape(chr(i)) for i in range(128) if chr(i) not in several)
@@ -133,7 +135,7 @@ class Codec:
         if len(self.cache) > CACHE_UNITS:
             self.cache.clear()
         missing = set().union(*cut).difference(self.cache) if cut else ()
-        self._learn(sorted(missing, key=lambda u: (len(u), u)))
+        self._learn(sorted(missing, key=len))
         out = [np.frombuffer(b"".join(map(self.cache.__getitem__, units)), np.int32) for units in cut]
         if not self.v.byte_fallback:  # a run of unknown characters is one unknown id
             out = [a[(a != self.v.unknown) | (np.concatenate([[-1], a[:-1]]) != self.v.unknown)] for a in out]
@@ -152,12 +154,30 @@ class Codec:
                     self.cache[u] = self._ids(u, self._merge_long(u))
             else:
                 chars = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), n)
-                piece = self._probe(chars)
-                follow = self._merge(piece) if self.v.kind == _BPE else self._viterbi(piece)
-                for u, f in zip(some, follow.tolist(), strict=True):
-                    self.cache[u] = self._ids(u, f)
+                found = self._probe(chars)
+                scores = np.where(found >= 0, self.v.scores[found], np.float32(-np.inf))
+                follow = self._merge(scores) if self.v.kind == _BPE else self._viterbi(scores)
+                self._store(some, found, follow)
             at = end
 
+    def _store(self, units: list[str], found: np.ndarray, follow: np.ndarray) -> None:
+        """The ids along follow (where the piece at a place ends) of units of one length into the cache."""
+        w, n, most = found.shape
+        on, at, rows = np.zeros((w, n), bool), np.zeros(w, np.int64), np.arange(w)
+        while len(rows):
+            on[rows, at] = True
+            at = follow[rows, at]
+            rows, at = rows[at < n], at[at < n]
+        row, start = np.nonzero(on)
+        size = follow[row, start] - start
+        ids = found[row, start, np.minimum(size, most - 1)]
+        flat, width = ids.tobytes(), ids.itemsize
+        ends = (np.bincount(row, minlength=w).cumsum() * width).tolist()
+        for u, a, b in zip(units, [0, *ends], ends, strict=False):
+            self.cache[u] = flat[a:b]
+        for r in np.unique(row[ids < 0]).tolist():  # characters without a piece
+            self.cache[units[r]] = self._ids(units[r], follow[r].tolist())
+
     def _ids(self, unit: str, follow: list[int]) -> bytes:
         """follow[a]: where the piece that starts at a ends."""
         out, a = [], 0
@@ -174,15 +194,18 @@ class Codec:
         return np.array(out, np.int32).tobytes()
 
     def _probe(self, chars: np.ndarray) -> np.ndarray:
-        """scores[w, a, l]: of the piece chars[w, a : a + l]; -inf where there is none."""
+        """ids[w, a, l]: of the piece chars[w, a : a + l]; -1 where there is none."""
         w, n = chars.shape
         h, power = _hash_of(chars), 1
-        out = np.full((w, n, min(n, self.longest) + 1), -np.inf, np.float32)
+        out = np.full((w, n, min(n, self.longest) + 1), -1, np.int32)
         for length in range(1, out.shape[2]):
             power = power * int(_BASE) & (1 << 64) - 1
             sub = (h[:, length:] - h[:, : n - length + 1] * np.uint64(power)) ^ np.uint64(length)
+            row, place = np.nonzero(self.maybe[sub >> np.uint64(44)])
+            sub = sub[row, place]
             at = np.minimum(np.searchsorted(self.keys, sub), len(self.keys) - 1)
-            out[:, : n - length + 1, length] = np.where(self.keys[at] == sub, self.v.scores[self.ids[at]], -np.inf)
+            hit = self.keys[at] == sub
+            out[row[hit], place[hit], length] = self.ids[at[hit]]
         return out
 
     def _viterbi(self, scores: np.ndarray) -> np.ndarray:
