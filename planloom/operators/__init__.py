@@ -181,6 +181,9 @@ class Limit(Plan):
     limit: Expr | str | float
     offset: Expr | str | float = 0
 
+    def __post_init__(self):
+        self.limit, self.offset = _expr(self.limit), _expr(self.offset)
+
 
 @dataclass(eq=False)
 class Distinct(Plan):
