@@ -57,6 +57,15 @@ class Engine:
         """(name, kind) of each output column."""
         return [(f.name, "num" if f.kind == "bool" else f.kind) for f in self.lowering().lower(self.plan(query)).fields]
 
+    def code(self, query: str | P.Plan) -> str:
+        """The plan, and the Java code that Spark generates for each of its stages."""
+        found = self.df(query)._jdf.queryExecution().debug().codegenToSeq()
+        return "\n\n".join([self.plan(query).pretty(), *(x for i in range(found.size()) for x in (found.apply(i)._1(), found.apply(i)._2()))])
+
+    def write_code(self, query: str | P.Plan, path: str) -> None:
+        with open(path, "w") as f:
+            f.write(self.code(query))
+
     def run(self, query: str | P.Plan) -> list[Row] | Iterator[Row] | None:
         """Run to the plan's sink; a list of all rows without one."""
         plan = self.plan(query)

@@ -67,12 +67,7 @@ class Shell:
     def compile(self, text: str) -> str:
         run = text.upper().startswith("AND RUN ")
         query = text[len("AND RUN ") :] if run else text
-        df = self.engine.df(query)
-        code = df._jdf.queryExecution().debug().codegenToSeq()
-        parts = [self.engine.plan(query).pretty()]
-        for i in range(code.size()):
-            parts += [code.apply(i)._1(), code.apply(i)._2()]
-        return "\n\n".join([*parts, *([self.query(query)] if run else [])])
+        return "\n\n".join([self.engine.code(query), *([self.query(query)] if run else [])])
 
     def explain(self, text: str) -> str:
         return f"{self.engine.plan(text).pretty()}\n\n{self.engine.df(text)._jdf.queryExecution().toString()}"

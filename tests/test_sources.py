@@ -52,3 +52,8 @@ def test_shell(engine):
     assert "0 <- 1" in shell.answer("LINEAGE SELECT a FROM data WHERE a = 1")
     assert "Scan" in shell.answer("EXPLAIN SELECT a FROM data")
     assert shell.answer("q") is None and "SHOW TABLES" in shell.answer("help")
+
+
+def test_written_code(engine, tmp_path):
+    engine.write_code("SELECT sum(a) FROM data GROUP BY b", str(tmp_path / "code.java"))
+    assert "GroupBy" in (text := (tmp_path / "code.java").read_text()) and "class" in text
