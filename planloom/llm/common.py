@@ -1,14 +1,16 @@
-"""What the corpus operators share: the word pattern, the shared scratch folder and lineage cuts."""
+"""What the corpus operators share: the word pattern, native word counts, and the tables written to cut lineage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planloom.storage import discard, materialise, scratch
+
+__all__ = ["SPACES", "WORD", "bind", "discard", "materialise", "scratch", "table", "word_count", "words"]
+
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -18,35 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share.
-
-    The cluster names the folder in spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary
-    folder of this process serves, and the session remembers it.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="planloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/planloom/{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame) -> tuple[DataFrame, str]:
-    """Write df to the shared folder and read it back: the lineage is cut and a lost executor loses nothing."""
-    spark, path = df.sparkSession, scratch(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete tables of materialise() that nothing reads any more."""
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once, also where body uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
