@@ -59,7 +59,13 @@ class Engine:
 
     def code(self, query: str | P.Plan) -> str:
         """The plan, and the Java code that Spark generates for each of its stages."""
-        found = self.df(query)._jdf.queryExecution().debug().codegenToSeq()
+        conf, name = self.spark.conf, "spark.sql.adaptive.enabled"
+        before = conf.get(name)
+        conf.set(name, "false")  # an adaptive plan generates its code only while it runs
+        try:
+            found = self.df(query)._jdf.queryExecution().debug().codegenToSeq()
+        finally:
+            conf.set(name, before)
         return "\n\n".join([self.plan(query).pretty(), *(x for i in range(found.size()) for x in (found.apply(i)._1(), found.apply(i)._2()))])
 
     def write_code(self, query: str | P.Plan, path: str) -> None:
