@@ -57,3 +57,12 @@ def test_shell(engine):
 def test_written_code(engine, tmp_path):
     engine.write_code("SELECT sum(a) FROM data GROUP BY b", str(tmp_path / "code.java"))
     assert "GroupBy" in (text := (tmp_path / "code.java").read_text()) and "class" in text
+
+
+def test_shipping(spark):
+    from planloom import shipping
+
+    shipping.ship(spark)  # the workers start where the package is
+    assert spark.sparkContext.applicationId not in shipping._shipped
+    shipping.ship(spark, force=True)
+    assert spark.sparkContext.applicationId in shipping._shipped
