@@ -24,12 +24,22 @@ SYMBOLS = "#*$%&|<>"
 SAMPLE_ROWS = 256
 
 
+class Measures:
+    """What rules ask of a text: an attribute is a metric's column if the table has it, else computed from the text."""
+
+    def __init__(self, text: Column, columns: tuple[str, ...] = ()):
+        self.text, self.columns = F.coalesce(text, F.lit("")), columns
+
+    def __getattr__(self, name: str) -> Column:
+        return F.col(name) if name in self.columns else METRICS[name](self.text)
+
+
 @dataclass(frozen=True)
 class Rule:
-    """reject: builds the rejecting condition from the text column."""
+    """reject: builds the rejecting condition from Measures."""
 
     name: str
-    reject: Callable[[Column], Column]
+    reject: Callable[[Measures], Column]
 
 
 def _count_of(text: Column, chars: str) -> Column:
@@ -92,13 +102,24 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+METRICS: dict[str, Callable[[Column], Column]] = {
+    "n_words": common.word_count,
+    "word_chars": word_chars,
+    "n_symbols": n_symbols,
+    "n_dup_lines": n_dup_lines,
+    "n_repeat_words": lambda t: repeat_words(common.words(t)),
+    "n_bangs": lambda t: _count_of(t, "!"),
+    "n_lines": lambda t: _count_of(t, "\n") + 1,
+}
+COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
 #: The method's own rules. They reject markup, tables, shouting and boilerplate, at rates that prose does not reach.
 RULES = (
-    Rule("symbols", lambda t: 5 * n_symbols(t) > common.word_count(t)),
-    Rule("exclamations", lambda t: 5 * _count_of(F.coalesce(t, F.lit("")), "!") > common.word_count(t)),
-    Rule("repeated_lines", lambda t: 10 * n_dup_lines(t) > 3 * F.size(F.split(F.coalesce(t, F.lit("")), "\n"))),
-    Rule("long_words", lambda t: word_chars(t) > 15 * common.word_count(t)),
-    Rule("short_words", lambda t: word_chars(t) < 2 * common.word_count(t)),
+    Rule("symbols", lambda m: 5 * m.n_symbols > m.n_words),
+    Rule("exclamations", lambda m: 5 * m.n_bangs > m.n_words),
+    Rule("repeated_lines", lambda m: 10 * m.n_dup_lines > 3 * m.n_lines),
+    Rule("long_words", lambda m: m.word_chars > 15 * m.n_words),
+    Rule("short_words", lambda m: m.word_chars < 2 * m.n_words),
 )
 
 
@@ -107,7 +128,7 @@ def plan_cascade(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "te
     sample, path = common.materialise(df.select(F.col(text).alias("t")).limit(sample_rows))
     n, measured = sample.count(), []
     for rule in rules:
-        query, times, hits = sample.agg(F.sum(rule.reject(F.col("t")).cast("int")).alias("n")), [], 0
+        query, times, hits = sample.agg(F.sum(rule.reject(Measures(F.col("t"))).cast("int")).alias("n")), [], 0
         for _ in range(2):
             began = time.perf_counter()
             hits = query.collect()[0]["n"] or 0
@@ -117,18 +138,21 @@ def plan_cascade(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "te
     return sorted(measured, key=lambda m: (-m[2] / m[1], m[1]))
 
 
-def cascade(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> Column:
-    """True where no rule rejects; CASE asks the rules in the measured order and stops at the first that does."""
-    verdict = None
+def cascade(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", columns: tuple[str, ...] = ()) -> Column:
+    """True where no rule rejects; CASE asks the rules in the measured order and stops at the first that does.
+
+    columns: the metrics that the table the result is used on has already.
+    """
+    verdict, measures = None, Measures(F.col(text), columns)
     for rule, _, _ in plan_cascade(df, rules, text):
-        hit = F.coalesce(rule.reject(F.col(text)), F.lit(False))
+        hit = F.coalesce(rule.reject(measures), F.lit(False))
         verdict = F.when(hit, False) if verdict is None else verdict.when(hit, False)
     return F.lit(True) if verdict is None else verdict.otherwise(True)
 
 
 def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """df with the metrics, base_failed and kept (false if base_failed, else the cascade's verdict)."""
-    verdict = cascade(df, rules, text)
+    verdict = cascade(df, rules, text, COLUMNS)
     out = metrics(df, text).withColumn("base_failed", base_failed())
     return out.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict))
 

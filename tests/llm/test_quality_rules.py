@@ -37,7 +37,7 @@ def test_cascade_order(spark):
     """Of equal cost the rule that rejects more comes first; a rule that rejects nothing comes last."""
     from pyspark.sql import functions as F
 
-    rules = (Q.Rule("never", lambda t: F.length(t) < 0), Q.Rule("often", lambda t: F.length(t) > 100))
+    rules = (Q.Rule("never", lambda m: F.length(m.text) < 0), Q.Rule("often", lambda m: F.length(m.text) > 100))
     assert [r.name for r, _, _ in Q.plan_cascade(documents(spark), rules)] == ["often", "never"]
 
 
