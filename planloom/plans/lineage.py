@@ -11,13 +11,14 @@ a row's id is its place in its partition after the rows of the partitions before
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planloom import operators as P
 from planloom import storage
+from planloom.dialect.syntax import Expr
 from planloom.plans.lowering import Lowering, Relation
 
 FORWARD, BACKWARD = 1, 2
@@ -75,6 +76,20 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, (F.col(place) - F.shiftleft(F.col(part), 33) + start).cast("long")).drop(place, part)
 
 
+def _named(plan: P.Plan) -> set[str]:
+    """The column names that a plan's expressions refer to."""
+    values = [getattr(p, f.name) for p in plan.walk() for f in fields(p)]
+    exprs = [x for v in values for x in (v if isinstance(v, (list, tuple)) else [v]) if isinstance(x, Expr)]
+    return {c.name for e in exprs for c in e.columns()}
+
+
+def _projected(plan: P.Plan, below: P.Plan) -> bool:
+    """Whether a projection or grouping stands between the two."""
+    if plan is below:
+        return False
+    return any(isinstance(plan, (P.Project, P.GroupBy)) or _projected(c, below) for c in plan.children() if below in list(c.walk()))
+
+
 class Lineage:
     def __init__(self, engine, plan: P.Plan, policy: LineagePolicy | None = None):
         self.engine, self.plan, self.policy = engine, plan, policy or EndToEnd()
@@ -95,12 +110,15 @@ class Lineage:
         return found[0]
 
     def _tagged(self, top: P.Plan, below: list[P.Plan]) -> tuple[Lowering, Relation, dict[int, str]]:
-        names = {id(p): f"__rid{i}" for i, p in enumerate(below)}
+        names, used = {id(p): f"__rid{i}" for i, p in enumerate(below)}, _named(self.plan)
 
         def tag(plan: P.Plan, r: Relation) -> Relation:
             name = names.get(id(plan))
             if name is None or plan is top:
                 return r
+            if isinstance(plan, P.Scan) and _projected(top, plan):  # what no expression names is not written
+                kept = tuple(f for f in r.fields if f.name in used)
+                r = replace(r, df=r.df.select(*[f.column for f in kept]), fields=kept)
             return replace(r, df=numbered(r.df, name), tags=r.tags | {name: name})
 
         lowering = self.engine.lowering(tag=tag)

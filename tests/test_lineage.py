@@ -64,3 +64,12 @@ def test_policies(engine):
         lineage.forw(0, scan)
     with pytest.raises(LineageError):
         policy.add_path(plan, scan)
+
+
+def test_only_named_columns_are_written(engine):
+    lineage = engine.lineage("SELECT 1 FROM data AS x, data AS y WHERE x.a = y.b")
+    scan = lineage.scans[0]
+    _, r, _ = lineage._tagged(lineage.plan, lineage.scans)
+    assert sorted(map(tuple, lineage.edges(scan).select("iid").distinct().collect())) == [(i,) for i in range(5)]
+    plan = lineage.result()._jdf.queryExecution().optimizedPlan().toString()
+    assert "_f_" not in plan and "_e_" not in plan
