@@ -114,12 +114,15 @@ def score(df: DataFrame, model: Model | None, text: str = "text", name: str = "s
         c = Compressors(m.dictionaries)
         for batch in batches:
             yield pd.Series(m.score(np.array([c.features(t) for t in batch], float).reshape(-1, 3)), dtype="float64")
+        common.release()
 
     return df.withColumn(name, F.pandas_udf(scores, "double")(F.col(text)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model | None:
-    return train(training.labelled(docs, labels, "quality", max_per_class))
+    model = train(training.labelled(docs, labels, "quality", max_per_class))
+    common.release()
+    return model
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -49,11 +49,11 @@ def _slots(text: str, cache: dict[str, int]) -> np.ndarray:
         cache.clear()
     for w in set(words).difference(cache):
         cache[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) & (WORD_SLOTS - 1)
-    return np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
+    return np.fromiter(map(cache.__getitem__, words), np.int32, len(words))
 
 
 def _pair(before: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return ((before * 0x9E3779B1 ^ slots * 0x85EBCA6B) >> 7) & (PAIR_SLOTS - 1)
+    return ((before * np.int64(0x9E3779B1) ^ slots * np.int64(0x85EBCA6B)) >> 7) & (PAIR_SLOTS - 1)
 
 
 def _pairs(slots: np.ndarray) -> np.ndarray:
@@ -94,7 +94,9 @@ def _fit(docs: list[np.ndarray], y: np.ndarray) -> Model:
     pairs, firsts, kinds, each = np.zeros((2, PAIR_SLOTS)), np.zeros((2, WORD_SLOTS)), np.zeros((2, WORD_SLOTS)), []
     for c in (0, 1):
         own = [s for s, label in zip(docs, y, strict=True) if label == c]
-        last, word = np.concatenate([np.concatenate([[0], s[:-1]]) for s in own]), np.concatenate(own)
+        word = np.concatenate(own)
+        last = np.concatenate([[0], word[:-1]])
+        last[np.cumsum([0, *(len(s) for s in own[:-1])])] = 0  # the first word of a text follows slot 0
         pairs[c] = np.bincount(_pair(last, word), minlength=PAIR_SLOTS)
         firsts[c] = np.bincount(last, minlength=WORD_SLOTS)
         each.append(np.unique(last * WORD_SLOTS + word))
@@ -109,9 +111,8 @@ def _fit(docs: list[np.ndarray], y: np.ndarray) -> Model:
 
 def train(rows: list[tuple[str, int]]) -> Model | None:
     """From (text, label); None without rows of both classes."""
-    cache: dict[str, int] = {}
     rows = list(dict.fromkeys(rows))  # copies of a text would count its words again and again
-    rows = [(s, label) for t, label in rows if len(s := _slots(t, cache))]
+    rows = [(s, label) for t, label in rows if len(s := _slots(t, {}))]
     docs, y = [s for s, _ in rows], np.array([label for _, label in rows], int)
     half = np.arange(len(y)) % 2
     if any(len(set(y[half == h])) < 2 for h in (0, 1)):
@@ -154,12 +155,16 @@ def score(df: DataFrame, model: Model | None, text: str = "text", name: str = "s
         m, cache = sent.value, {}
         for batch in batches:
             yield pd.Series(m.score(np.array([m.difference(_slots(t or "", cache)) for t in batch], float)), dtype="float64")
+        cache.clear()
+        common.release()
 
     return df.withColumn(name, F.pandas_udf(scores, "double")(F.col(text)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_per_class: int = training.MAX_PER_CLASS) -> Model | None:
-    return train(training.labelled(docs, labels, "toxic", max_per_class))
+    model = train(training.labelled(docs, labels, "toxic", max_per_class))
+    common.release()
+    return model
 
 
 def query(spark, sf_dir: str) -> DataFrame:
