@@ -38,7 +38,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONG = 192
 UNITS_AT_ONCE = 4096
-CACHE_UNITS = 500_000
+CACHE_UNITS = 250_000
 UNKNOWN_PENALTY = 10.0
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNIGRAM, _BPE = 1, 2
@@ -291,15 +291,15 @@ def encoded(df: DataFrame, model_path: str = MODEL, text: str = "text") -> DataF
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(sent.value)
         for batch in batches:
-            ids, same = [], []
-            for at in range(0, len(batch), 128):
-                texts = batch.slice(at, 128).to_pylist()
-                some = codec.encode(texts)
-                ids += some
-                same += [codec.decode(x) == (t or "") for x, t in zip(some, texts, strict=True)]
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            flat = np.concatenate([*ids, np.zeros(0, np.int32)])
-            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(same, pa.bool_())], ["ids", "round_trip"])
+            for at in range(0, len(batch), 256):  # bounded memory, however many rows Spark sends at once
+                texts = batch.slice(at, 256).to_pylist()
+                ids = codec.encode(texts)
+                same = [codec.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                flat = np.concatenate([*ids, np.zeros(0, np.int32)])
+                yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(same, pa.bool_())], ["ids", "round_trip"])
+        del codec
+        common.release()
 
     out = df.withColumn("__e", F.arrow_udf(of, "struct<ids: array<int>, round_trip: boolean>")(F.col(text)))
     return out.withColumns({"ids": F.col("__e.ids"), "n_tokens": F.size("__e.ids"), "round_trip": F.col("__e.round_trip")}).drop("__e")

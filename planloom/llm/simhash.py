@@ -77,7 +77,10 @@ def fingerprint(text: bytes | None, size: int = 4, lanes: int = 1) -> bytes:
 def fingerprints(text: Column, size: int = 4, lanes: int = 1) -> Column:
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([fingerprint(t, size, lanes) for t in batch.cast(pa.binary()).to_pylist()], pa.binary())
+            for at in range(0, len(batch), 1024):
+                texts = batch.slice(at, 1024).cast(pa.binary()).to_pylist()
+                yield pa.array([fingerprint(t, size, lanes) for t in texts], pa.binary())
+        common.release()
 
     return F.arrow_udf(of, "binary")(text)
 
@@ -252,6 +255,7 @@ def cluster(
     prints, _ = common.materialise(df.select(F.col(doc_id).cast("long").alias("id"), fingerprints(F.col(text), size, lanes).alias("fp")))
     classes, _ = common.materialise(prints.groupBy("fp").agg(F.min("id").alias("node")))
     found, path = common.materialise(links(classes.where("node is not null").select("node", "fp"), max_bits, lanes, segments, run))
+    common.forget(spark)
     parts, _ = common.materialise(graph.components(found))
     common.discard(spark, path)
     of_class = classes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
