@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch(spark: SparkSession) -> str:
     """A fresh path in the folder that driver and executors share.
@@ -16,17 +20,29 @@ def scratch(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="planloom-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/planloom/{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffles_let_go(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside delete their shuffle files when they end: what they wrote replaces them."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def materialise(df: DataFrame) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it back: the lineage is cut and a lost executor loses nothing."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
-    df.write.parquet(path)
+    with shuffles_let_go(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
