@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from planloom.storage import discard, materialise, scratch
 
-__all__ = ["SPACES", "WORD", "bind", "discard", "forget", "materialise", "release", "scratch", "table", "word_count", "words"]
+__all__ = ["SPACES", "WORD", "bind", "discard", "materialise", "release", "scratch", "table", "word_count", "words"]
 
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,14 +42,3 @@ def release() -> None:
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):  # only where the C library offers it
         ctypes.CDLL(None).malloc_trim(0)
-
-
-def forget(spark: SparkSession) -> None:
-    """Let the cluster delete the shuffle files of plans that are written and no longer referred to.
-
-    They go when the driver's garbage is collected, which else may take until the disks are full of them.
-    """
-    for _ in range(2):  # the first pass only finds that Python holds them no more
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)

@@ -4,20 +4,27 @@ A fingerprint has 64 bits for each lane: a bit is set if it is set in over half
 with seed 42; further lanes mix that hash anew). Two fingerprints link at max_bits differing bits or fewer.
 
 Index: with k = max_bits the bits are cut into as few segments as leave one of them with at most one differing bit,
-floor(k / 2) + 1. A segment's variants have one bit deleted (a wildcard in its place); two segments differ by one bit at
-most exactly if they share a variant. So an equality join on (place of the wildcard, segment without it) finds every
+floor(k / 2) + 1. A segment's variants have one bit deleted. Of the two values that a wildcard stands for the one without
+the bit is the key, so a class has its own value as a key and one for each bit that is set, and two segments differ by
+one bit at most exactly if the own value of one is a key of the other. An equality join on (segment, key) finds every
 link, and the full distance verifies it. Wider limits (`segments` above) trade that certainty for longer keys.
 
-Scale: equal fingerprints are one class, made by a partial aggregation, so thousands of copies cost one row. Classes that
-share a key are compared where they meet. A few classes emit their links; many emit a spanning forest, found by a search
-that drops a class from the comparison once it is reached, so nothing emits all pairs of a group. Keys with over RUN
-classes are dealt out to cells of two chunks each, every two chunks meeting in one cell. The links' components come from
-graph.components(); copies follow their class.
+Scale: equal fingerprints are one class, made by a partial aggregation, so thousands of copies cost one row. Of the
+classes that share a key those with it as own value are compared with all, a batch of pairs at a time. Few links are
+emitted as they are; of more than MANY for each class a spanning forest is, found by a search that drops a class from the
+comparison once it is reached, so nothing emits all pairs of a group. Keys with over RUN classes are dealt out to cells of two
+chunks each, every two chunks meeting in one cell. The links' components come from graph.components(); copies follow
+their class.
+
+Similarity: similar() links classes by the Jaccard similarity of their texts' shingles. Fingerprints only propose the
+pairs, and each is verified on the sets themselves. Of crowded keys it verifies two spanning forests, one of links that
+are as good as sure (a third of max_bits) and one of all.
 
 Defined cases: a null text has no words; a text without words has fingerprint zero, linked like any other; a document
 with fewer words than a shingle is one shingle; a row with a null id links nothing and has a component only if its
-fingerprint's class has one; repeated rows share a class; an empty table gives an empty result; clashing input columns
-are replaced by the result's.
+fingerprint's class has one; repeated rows share a class; texts of any length are read whole, a part of their hashes at a
+time; an empty table gives an empty result; clashing input columns are replaced by the result's. In similar() rows that
+repeat an id are one document with the shingles of all of them.
 """
 
 from __future__ import annotations
@@ -35,8 +42,10 @@ from planloom.llm import common, graph
 SEED = 42
 #: Classes of a key that are compared in one task.
 RUN = 20_000
-#: Up to so many classes of a key every two are compared, above it the spanning search runs.
-FEW = 48
+#: Pairs that are compared at once, and those of one key above which the spanning search runs at once.
+PAIRS = 1 << 19
+#: Links for each class of a key above which a spanning forest replaces them.
+MANY = 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -106,7 +115,7 @@ def _lanes(column: pa.Array | pa.ChunkedArray, lanes: int) -> np.ndarray:
 
 
 def _keys(classes: DataFrame, lanes: int, segments: int) -> DataFrame:
-    """Every variant of every segment of every class: (key, node, fp)."""
+    """Every segment of every class, whole and without each bit that is set: (key, node, fp)."""
     cuts = _cuts(64 * lanes, segments)
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,12 +123,13 @@ def _keys(classes: DataFrame, lanes: int, segments: int) -> DataFrame:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 fp = _lanes(batch["fp"], lanes)
-                for low, width in cuts:
+                for i, (low, width) in enumerate(cuts):
                     seg = _segment(fp, low, width)
-                    place = np.arange(width, dtype=np.uint64)
-                    key = (seg[:, None] & ~(np.uint64(1) << place)[None, :]) | ((place + np.uint64(low)) << np.uint64(40))[None, :]
-                    take = pa.array(np.repeat(np.arange(len(fp)), width))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), batch["node"].take(take), batch["fp"].take(take)], ["key", "node", "fp"])
+                    bit = np.concatenate([[np.uint64(0)], np.uint64(1) << np.arange(width, dtype=np.uint64)])
+                    row, place = np.nonzero((seg[:, None] & bit) == bit)
+                    key = (seg[row] ^ bit[place]) | np.uint64(i << 40)
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), batch["node"].take(take), batch["fp"].take(take)], ["key", "node", "fp"])
 
     return classes.mapInArrow(variants, "key long, node long, fp binary")
 
@@ -127,9 +137,10 @@ def _keys(classes: DataFrame, lanes: int, segments: int) -> DataFrame:
 def _hot_keys(classes: DataFrame, lanes: int, segments: int, run: int) -> DataFrame:
     """(key, chunks) of the keys that over `run` classes may share.
 
-    A key's classes are those of the two values of its segment, so counting whole segments is enough.
+    A key's classes are those whose segment is the key or has one bit more, so counting whole segments is enough.
     """
     cuts = _cuts(64 * lanes, segments)
+    most = max(width for _, width in cuts) + 1
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,38 +149,36 @@ def _hot_keys(classes: DataFrame, lanes: int, segments: int, run: int) -> DataFr
                 n = len(fp)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i, np.int32)), pa.array(_segment(fp, low, width).astype(np.int64))], ["segment", "value"])
 
-    many = classes.select("fp").mapInArrow(values, "segment int, value long").groupBy("segment", "value").count().where(F.col("count") * 2 > run)
-    shape = F.create_map(*[F.lit(x) for i, (low, width) in enumerate(cuts) for x in (i, low * 256 + width)])
-    many = many.withColumn("low", F.floor(shape[F.col("segment")] / 256)).withColumn("width", shape[F.col("segment")] % 256)
-    each = many.select("value", "low", "count", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("p"))
-    key = F.expr("(value & ~shiftleft(1L, int(p))) | shiftleft(low + p, 40)")
-    return each.groupBy(key.alias("key")).agg(F.ceil((F.sum("count") + run // 2) / run).cast("int").alias("chunks")).where("chunks > 1")
+    many = classes.select("fp").mapInArrow(values, "segment int, value long").groupBy("segment", "value").count().where(F.col("count") * most > run)
+    bits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(most - 2)), lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p)), lambda x: F.col("value").bitwiseAND(x) != 0)
+    each = many.withColumn("minus", F.explode(F.concat(F.array(F.lit(0).cast("long")), bits)))
+    key = F.col("value") - F.col("minus") + F.shiftleft(F.col("segment").cast("long"), 40)
+    # the values that were left out as too few make less than one run together
+    return each.groupBy(key.alias("key")).agg((F.ceil(F.sum("count") / run) + 1).cast("int").alias("chunks"))
 
 
-def _linked(keys: DataFrame, max_bits: int, lanes: int, segments: int) -> DataFrame:
+def _linked(keys: DataFrame, max_bits: int, lanes: int, segments: int, sure_bits: int | None) -> DataFrame:
     """The links among rows of equal (key, cell); rows must stand together by them."""
     cuts = _cuts(64 * lanes, segments)
 
-    def near(x: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(x).sum(-1, dtype=np.int64) <= max_bits
+    def differ(x: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(x).sum(-1, dtype=np.int64)
 
-    def first_key(x: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Whether the key's place is the first at which two fingerprints that differ in x meet."""
-        first = np.full(len(x), -1, np.int64)
-        for low, width in cuts:
-            s = _segment(x, low, width)
-            at = low + np.where(s > 0, np.log2(np.maximum(s, 1).astype(float)).round().astype(np.int64), 0)
-            first = np.where((first < 0) & (np.bitwise_count(s) <= 1), at, first)
-        return first == place
+    def first(x: np.ndarray) -> np.ndarray:
+        """The first segment at which two fingerprints that differ in x meet."""
+        out = np.full(len(x), -1, np.int64)
+        for i, (low, width) in enumerate(cuts):
+            out = np.where((out < 0) & (np.bitwise_count(_segment(x, low, width)) <= 1), i, out)
+        return out
 
-    def spanning(node: np.ndarray, fp: np.ndarray) -> tuple[list, list]:
+    def spanning(node: np.ndarray, fp: np.ndarray, bits: int) -> tuple[list, list]:
         """A spanning forest of the links among many classes; a class once reached is compared no more."""
         left, a, b = np.arange(len(node)), [], []
         while len(left):
             queue, left = [left[0]], left[1:]
             while queue and len(left):
                 i = queue.pop()
-                hit = near(fp[left] ^ fp[i])
+                hit = differ(fp[left] ^ fp[i]) <= bits
                 if hit.any():
                     reached = left[hit]
                     a += [node[i]] * len(reached)
@@ -182,25 +191,38 @@ def _linked(keys: DataFrame, max_bits: int, lanes: int, segments: int) -> DataFr
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(key)))
+        own = np.zeros(len(key), bool)
+        for i, (low, width) in enumerate(cuts):
+            own |= (key >> 40 == i) & (_segment(fp, low, width).astype(np.int64) == key & (1 << 40) - 1)
+        owners = np.add.reduceat(own.astype(np.int64), start)
+        us, vs, crowded = [], [], set(np.flatnonzero(owners * size > PAIRS).tolist())
         run = np.repeat(np.arange(len(start)), size)
-        after = np.repeat(start + size, size) - np.arange(len(key)) - 1  # rows of the run that follow a row
-        few = size[run] <= FEW
-        us, vs = [], []
-        for d in range(1, min(FEW, int(size.max(initial=1)))):
-            i = np.flatnonzero(few & (after >= d))
-            if not len(i):
-                break
-            x = fp[i] ^ fp[i + d]
-            ok = near(x)
-            i, x = i[ok], x[ok]
-            ok = first_key(x, key[i] >> 40)
-            us.append(node[i[ok]])
-            vs.append(node[i[ok] + d])
-        for r in np.flatnonzero(size > FEW):
+        i = np.flatnonzero(own)
+        i = i[owners[run[i]] * size[run[i]] <= PAIRS]
+        n, at = size[run[i]], 0
+        while at < len(i):
+            end = max(at + 1, int(np.searchsorted(np.cumsum(n[at:]), PAIRS, "right")) + at)
+            # whole runs only, so that a run's links are counted together
+            end = int(np.searchsorted(run[i], run[i[end - 1]], "right"))
+            x = np.repeat(i[at:end], n[at:end])
+            y = np.arange(len(x)) - np.repeat(np.cumsum(n[at:end]) - n[at:end], n[at:end]) + start[run[x]]
+            ok = (x != y) & (~own[y] | (x < y))
+            x, y = x[ok], y[ok]
+            ok = differ(fp[x] ^ fp[y]) <= max_bits
+            x, y = x[ok], y[ok]
+            many = np.bincount(run[x] - run[i[at]], minlength=run[i[end - 1]] - run[i[at]] + 1)
+            over = np.flatnonzero(many > MANY * size[run[i[at]] : run[i[end - 1]] + 1]) + run[i[at]]
+            crowded |= set(over.tolist())
+            ok = ~np.isin(run[x], over) & (first(fp[x] ^ fp[y]) == key[x] >> 40)
+            us.append(node[x[ok]])
+            vs.append(node[y[ok]])
+            at = end
+        for r in sorted(crowded):
             part = slice(start[r], start[r] + size[r])
-            a, b = spanning(node[part], fp[part])
-            us.append(np.array(a, np.int64))
-            vs.append(np.array(b, np.int64))
+            for bits in {max_bits, max_bits if sure_bits is None else sure_bits}:
+                a, b = spanning(node[part], fp[part], bits)
+                us.append(np.array(a, np.int64))
+                vs.append(np.array(b, np.int64))
         u = np.concatenate([*us, np.zeros(0, np.int64)])
         v = np.concatenate([*vs, np.zeros(0, np.int64)])
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
@@ -224,9 +246,13 @@ def _linked(keys: DataFrame, max_bits: int, lanes: int, segments: int) -> DataFr
     return keys.mapInArrow(scan, "u long, v long")
 
 
-def links(classes: DataFrame, max_bits: int = 4, lanes: int = 1, segments: int | None = None, run: int = RUN) -> DataFrame:
-    """Links (u > v) between classes (node long, fp binary) that connect exactly what the verified links connect."""
+def links(classes: DataFrame, max_bits: int = 4, lanes: int = 1, segments: int | None = None, run: int = RUN, sure_bits: int | None = None) -> DataFrame:
+    """Links (u > v) between classes (node long, fp binary) that connect exactly what the verified links connect.
+
+    sure_bits: crowded keys give a spanning forest of the links up to so many bits besides that of all links.
+    """
     segments = segments or max_bits // 2 + 1
+    classes = classes.repartition(F.xxhash64("fp"))  # few classes become many rows
     keys = _keys(classes, lanes, segments).withColumn("cell", F.lit(0).cast("long"))
     hot, path = common.materialise(_hot_keys(classes, lanes, segments, run))
     if hot.isEmpty():
@@ -237,7 +263,21 @@ def links(classes: DataFrame, max_bits: int = 4, lanes: int = 1, segments: int |
         dealt = keys.drop("cell").join(hot, "key", "left")
         keys = dealt.select("key", "node", "fp", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(cells)).alias("cell"))
     together = keys.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return _linked(together, max_bits, lanes, segments).distinct()
+    return _linked(together, max_bits, lanes, segments, sure_bits).distinct()
+
+
+def _classes(df: DataFrame, doc_id: str, text: str, size: int, lanes: int) -> tuple[tuple[DataFrame, str], tuple[DataFrame, str]]:
+    """(id, fp) of every row and (fp, node), node the smallest id, of every fingerprint. Written to the shared folder."""
+    prints = common.materialise(df.select(F.col(doc_id).cast("long").alias("id"), fingerprints(F.col(text), size, lanes).alias("fp")))
+    return prints, common.materialise(prints[0].groupBy("fp").agg(F.min("id").alias("node")))
+
+
+def _components(prints: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row, from the links between classes."""
+    parts, _ = common.materialise(graph.components(found))
+    of_class = classes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    out = prints.join(of_class, "fp", "left")
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def cluster(
@@ -251,16 +291,66 @@ def cluster(
     run: int = RUN,
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; fingerprint in lowercase hex digits."""
-    spark = df.sparkSession
-    prints, _ = common.materialise(df.select(F.col(doc_id).cast("long").alias("id"), fingerprints(F.col(text), size, lanes).alias("fp")))
-    classes, _ = common.materialise(prints.groupBy("fp").agg(F.min("id").alias("node")))
+    (prints, _), (classes, _) = _classes(df, doc_id, text, size, lanes)
     found, path = common.materialise(links(classes.where("node is not null").select("node", "fp"), max_bits, lanes, segments, run))
-    common.forget(spark)
-    parts, _ = common.materialise(graph.components(found))
-    common.discard(spark, path)
-    of_class = classes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    out = prints.join(of_class, "fp", "left")
-    return out.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+    out = _components(prints, classes, found)
+    common.discard(df.sparkSession, path)
+    return out
+
+
+def _sets(df: DataFrame, nodes: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
+    """(node, shingles): the sorted 32-bit hashes of the shingles of each node's text."""
+
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            texts = batch.cast(pa.binary()).to_pylist()
+            yield pa.array([np.unique(_shingle_hashes(t, size) >> np.uint64(32)).astype(np.uint32).tobytes() for t in texts], pa.binary())
+        common.release()
+
+    rows = df.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("__text")).join(nodes, "node")
+    each = rows.select("node", F.arrow_udf(of, "binary")("__text").alias("s"))
+    return each.groupBy("node").agg(F.array_sort(F.collect_set("s")).alias("sets"))
+
+
+def similar(
+    df: DataFrame,
+    similarity: float = 0.8,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    size: int = 5,
+    max_bits: int = 38,
+    lanes: int = 3,
+    segments: int = 12,
+    run: int = RUN,
+) -> DataFrame:
+    """cluster() with verified links: of classes that the fingerprints propose, those whose shingle sets are similar.
+
+    The fingerprints of two texts of a Jaccard similarity of 0.8 (cosine 0.89) differ in 15 % of their bits on average, 29
+    of 192. Two texts without words are alike.
+    """
+    spark = df.sparkSession
+    (prints, _), (classes, _) = _classes(df, doc_id, text, size, lanes)
+    proposed, path = common.materialise(links(classes.where("node is not null").select("node", "fp"), max_bits, lanes, segments, run, max_bits // 3))
+    nodes = proposed.select(F.col("u").alias("node")).union(proposed.select(F.col("v").alias("node"))).distinct()
+    sets, sets_path = common.materialise(_sets(df, nodes, doc_id, text, size))
+    of = lambda x: sets.select(F.col("node").alias(x), F.col("sets").alias(f"{x}_sets"))
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def known(sets: list[bytes]) -> np.ndarray:
+            return np.frombuffer(sets[0], np.uint32) if len(sets) == 1 else np.unique(np.frombuffer(b"".join(sets), np.uint32))
+
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["u_sets"].to_pylist(), batch["v_sets"].to_pylist(), strict=True):
+                a, b = known(x), known(y)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    found, found_path = common.materialise(proposed.join(of("u"), "u").join(of("v"), "v").mapInArrow(verified, "u long, v long"))
+    out = _components(prints, classes, found)
+    common.discard(spark, path, sets_path, found_path)
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:

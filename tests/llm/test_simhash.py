@@ -79,18 +79,57 @@ def test_links_connect_what_brute_force_connects(spark, max_bits, segments, run)
     assert got == expected
 
 
-def test_wide_fingerprints(spark):
-    """128 bits find pairs at a similarity of 0.8 and leave others alone."""
-    rows = []
-    for i in range(30):
-        words = prose(i, 400, 3000).split()
-        rows.append((2 * i, " ".join(words), "en", "s", 1))
-        for j in range(8):
-            words[j * 50 + 20] = f"n{j}"
-        rows.append((2 * i + 1, " ".join(words), "en", "s", 1))  # 8 of 400 words: 0.82
-    got = {x["doc_id"]: x["component_id"] for x in S.cluster(documents(spark, rows), size=5, lanes=2, segments=8, max_bits=20).collect()}
-    assert all(got[2 * i] == 2 * i for i in range(30))
-    assert sum(got[2 * i + 1] == 2 * i for i in range(30)) >= 20
+def jaccard(a, b):
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t.split() else set() for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_similar_texts_against_brute_force(spark):
+    """Clusters of copies with ever more words replaced: the same groups as all pairs of 0.8 or more give."""
+    r, rows = random.Random(4), []
+    for i in range(40):
+        words = prose(i, 300, 3000).split()
+        for j in range(6):
+            rows.append((10 * i + j, " ".join(words), "en", "s", 1))
+            for k in r.sample(range(300), r.choice((2, 4, 7, 12))):
+                words[k] = f"n{i}x{j}x{k}"
+    rows += [(1000, None, "en", "s", 1), (1001, "", "en", "s", 1), (1002, "one two", "en", "s", 1), (1003, "One two", "en", "s", 1)]
+    texts = {i: (t or "").lower() for i, t, *_ in rows}
+    parent = {i: i for i in texts}
+    for a in texts:
+        for b in (b for b in texts if b > a and b // 10 == a // 10):
+            if jaccard(texts[a], texts[b]) >= 0.8:
+                x, y = a, b
+                while parent[x] != x:
+                    x = parent[x]
+                while parent[y] != y:
+                    y = parent[y]
+                parent[max(x, y)] = min(x, y)
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    got = {x["doc_id"]: x["component_id"] for x in S.similar(documents(spark, rows)).collect()}
+    wrong = {i for i in texts if got[i] != root(i)}
+    assert got[1001] == 1000 and got[1003] == 1002
+    assert len(wrong) <= 2 and sum(root(i) != i for i in texts) > 100
+
+
+def test_similar_in_crowds(spark):
+    """Near copies by the hundred share their keys; all that are similar to the first are in its group."""
+    r, base, rows = random.Random(2), prose(5, 250, 3000).split(), []
+    for i in range(400):
+        words = list(base)
+        for k in r.sample(range(250), r.randrange(1, 3)):
+            words[k] = f"n{i}x{k}"
+        rows.append((i, " ".join(words), "en", "s", 1))
+    got = S.similar(documents(spark, rows)).collect()
+    assert {x["component_id"] for x in got} == {0} and len(got) == 400
+
+
+def test_far_texts_are_left_alone(spark):
+    rows = [(2 * i + j, " ".join([*prose(i, 200, 3000).split(), *prose(50 + 2 * i + j, 60, 3000).split()]), "en", "s", 1) for i in range(25) for j in (0, 1)]
+    assert all(x["component_id"] == x["doc_id"] for x in S.similar(documents(spark, rows)).collect())
 
 
 def test_components(spark):
@@ -103,6 +142,6 @@ def test_components(spark):
 
 
 def test_empty_table_and_clashing_columns(spark):
-    assert S.cluster(documents(spark, [])).collect() == []
+    assert S.cluster(documents(spark, [])).collect() == [] and S.similar(documents(spark, [])).collect() == []
     clash = documents(spark).selectExpr("*", "1 AS fp", "2 AS id", "3 AS component_id")
-    assert S.cluster(clash).count() == len(awkward())
+    assert S.cluster(clash).count() == len(awkward()) == S.similar(clash).count()
