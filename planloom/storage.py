@@ -5,10 +5,12 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The paths given out while settled() builds, for each of its calls that is under way.
+_made: list[list[str]] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -24,7 +26,10 @@ def scratch(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="planloom-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/planloom/{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/planloom/{uuid.uuid4().hex}"
+    for paths in _made:
+        paths.append(path)
+    return path
 
 
 @contextlib.contextmanager
@@ -46,6 +51,18 @@ def materialise(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """materialise(build()), without the other tables that were written for it."""
+    paths: list[str] = []
+    _made.append(paths)
+    try:
+        out, kept = materialise(build())
+    finally:
+        _made[:] = [x for x in _made if x is not paths]
+    discard(spark, *(p for p in paths if p != kept))
+    return out, kept
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete tables of materialise() that nothing reads any more."""
     for path in paths:
