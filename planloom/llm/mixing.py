@@ -11,12 +11,13 @@
 4. In a shard the rows stand in seeded order on one line of words. A quota is some whole passes over the line and the
    blocks from its start: a row takes its words once for each pass, and those that the last blocks cover.
 
-No row is taken more than max_epochs times, a shard holds a bounded share of a source however hot it is, and reruns
-agree, as every order is a hash of the seed and the row's id.
+No row is taken more than max_epochs times, and reruns agree, as every order is a hash of the seed and the row's id. A
+shard has shard_rows rows, of sources of over shard_rows ** 2 rows the square root of their number, and so has the list of
+a source's shards: at 10 ** 10 rows of one source 100,000 of each, with no bound on either.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; sources without words get
-target 0; rows that repeat an id are separate rows; an empty table gives an empty result. Input columns that share a name
-with a result column are replaced.
+target 0; rows that repeat an id are separate rows, in order of their sizes; texts of any length are counted whole; an empty
+table gives an empty result. Input columns that share a name with a result column are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ SEED = 20
 MAX_EPOCHS = 3
 BLOCK_WORDS = 1024
 SHARD_ROWS = 2048
-MAX_SHARDS = 4096
+#: The columns that mix() adds.
+ADDED = ("size", "source_size", "target", "taken")
 
 
 def _targets(sources: DataFrame, weights: Column, max_epochs: int, block_words: int) -> DataFrame:
@@ -98,8 +100,7 @@ def mix(
 
     weights: a source's weight from its place k (from 1) among the sources; 1, 2, 3, repeating by default.
     """
-    new = ["size", "source_size", "target", "taken"]
-    keep = [c for c in (df.columns if keep is None else keep) if c not in new]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ADDED]
     weights = (F.col("k") - 1) % 3 + 1 if weights is None else weights
     carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
     rows = df.select(*carried, F.col(source).alias("source"), _hash(F.col(doc_id), seed).alias("order"), common.word_count(F.col(text)).alias("size"))
@@ -109,7 +110,7 @@ def mix(
     targets = _targets(totals, weights, max_epochs, block_words)
     blocks = F.floor(F.col("total").cast("double") / F.col("block"))
     quotas = sainte_lague(targets.withColumn("all", F.lit(1)), ["all"], "k", F.col("target"), blocks)
-    shards = F.least(F.lit(MAX_SHARDS), F.ceil(F.col("n_rows") / shard_rows)).cast("long")
+    shards = F.ceil(F.col("n_rows") / F.greatest(F.lit(shard_rows), F.floor(F.sqrt("n_rows")))).cast("long")
     sources, _ = common.materialise(quotas.select("source", "k", "source_size", "target", "block", "quota", shards.alias("n_shards")).coalesce(1))
 
     def placed(x: DataFrame) -> DataFrame:
@@ -177,7 +178,7 @@ s8 AS (SELECT *, 1 AS g, target AS claim, CAST(floor(CAST(total AS DOUBLE) / blo
 {_lague("s8", "q", "g", "k")},
 p AS (
   SELECT d.doc_id, d.size, d.o, q.k, q.source_size, q.target, q.block, q.quota AS seats,
-         CAST('0x' || substr(o, 1, 8) AS BIGINT) % CAST(least({MAX_SHARDS}, ceil(q.n_rows / {SHARD_ROWS})) AS BIGINT) AS shard
+         CAST('0x' || substr(o, 1, 8) AS BIGINT) % CAST(ceil(q.n_rows / greatest({SHARD_ROWS}, floor(sqrt(q.n_rows)))) AS BIGINT) AS shard
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
 l AS (SELECT k, shard, CAST(sum(size) AS BIGINT) AS line, CAST(sum(size) AS DOUBLE) AS claim, any_value(seats) AS seats, any_value(block) AS block FROM p GROUP BY k, shard),
 {_lague("l", "z", "k", "shard")},

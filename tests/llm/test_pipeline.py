@@ -73,12 +73,74 @@ def test_mix_and_tokens(stages):
     assert all(codec.decode(__import__("numpy").array(r["ids"])) == texts[r["doc_id"]] for r in rows if r["doc_id"] not in repeated)
 
 
+def test_each_stage_against_a_plain_version(spark, stages):
+    """The whole pipeline's rows from plain versions of its decisions, stage by stage."""
+    from test_simhash import jaccard
+
+    out, folder = stages
+    model = corpus_pipeline.toxicity.learn(out["documents"], common.table(spark, folder, "labels"))
+    scores = lambda t: model.score(model.difference(corpus_pipeline.toxicity._slots(t or "", {})))
+    key = lambda r: (r["doc_id"] or 0, r["text"] or "")
+    kept = [r for r in out["documents"].collect() if scores(r["text"]) < 0.5]
+    assert sorted(map(key, kept)) == sorted(map(key, out["toxicity"].collect()))
+    texts = {r["doc_id"]: (r["text"] or "").lower() for r in kept if r["doc_id"] is not None}
+    words = {i: set(t.split()) for i, t in texts.items()}
+    near = {i: {i} for i in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and len(words[a] & words[b]) >= 0.5 * len(words[a] | words[b]) and jaccard(texts[a], texts[b]) >= 0.8:
+                near[a].add(b)
+                near[b].add(a)
+    stay, seen = set(), set()
+    for i in sorted(texts):
+        if i not in seen:
+            stay.add(i)
+            todo = [i]
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += near[x]
+    assert {i for i in ids(out["simhash"]) if i is not None} == stay
+    copies = {}
+    for r in corpus_pipeline.mixing.mix(out["passages"]).collect():
+        n = int(r["taken"] / r["size"] + 0.5) if r["size"] else 0
+        copies[key(r)] = copies.get(key(r), 0) + n
+    mixed = {}
+    for r in out["mixing"].collect():
+        mixed[key(r)] = mixed.get(key(r), 0) + 1
+    assert mixed == {k: n for k, n in copies.items() if n}
+
+
 def test_run_is_the_last_stage(spark, stages):
     out, folder = stages
     one = lambda df: sorted((r["doc_id"] or 0, r["n_tokens"]) for r in df.collect())
     assert one(corpus_pipeline.run(spark, folder)) == one(out["sentencepiece"])
 
 
+def test_own_columns_stay(spark, stages):
+    """Columns that are named like the stages' own come out as they went in."""
+    _, folder = stages
+    names = ["size", "target", "taken", "source_size", "id", "fp", "node", "a", "b", "score", "__x", "component_id"]
+    own = documents(spark, [(i, prose(9000 + i, 150, 3000), "en", f"s{i % 3}", 1) for i in range(12)])
+    own = own.selectExpr("*", *[f"concat('{n}', doc_id) AS `{n}`" for n in names])
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, own, folder)
+        assert out.columns == own.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names), name
+
+
+def test_stage_tables_are_deleted(spark, stages):
+    import glob
+
+    _, folder = stages
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = len(glob.glob(f"{root}/planloom/*"))
+    corpus_pipeline.run(spark, folder).count()
+    assert len(glob.glob(f"{root}/planloom/*")) == before + 1
+
+
 def test_every_stage_takes_empty_tables(spark, stages):
     _, folder = stages
     for _, f in corpus_pipeline.STAGES:
