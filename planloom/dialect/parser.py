@@ -129,7 +129,7 @@ class _Parser:
             self.need("symbol", ")")
             return inner
         if t := self.take("number"):
-            return S.Number(float(t.value))
+            return S.Number(float(t.value) if "." in t.value or int(t.value) < 1 << 53 else int(t.value))
         if t := self.take("string"):
             return S.Text(t.value)
         if t := self.take("keyword", "true", "false"):

@@ -1,17 +1,21 @@
 """Functions of the dialect: built-ins as native expressions, and user-defined scalar, aggregate and table functions.
 
 A scalar function runs over Arrow batches; an aggregate one gets whole columns (as pandas Series) of its group; an
-incremental one is a reducer (init, update, finalize). Scalar and aggregate names must not collide.
+incremental one is a reducer (init, update, finalize, and merge where its states merge). Scalar and aggregate names must not collide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import inspect
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class FunctionError(ValueError):
@@ -26,14 +30,29 @@ class ScalarFunction:
     kind: str  # of the result: num, str, bool
 
 
+@dataclass(frozen=True)
+class Reducer:
+    """update(state, *values) from init() over rows, merge(state, state) over partial states, then finalize(state)."""
+
+    init: Callable
+    update: Callable
+    merge: Callable
+    finalize: Callable
+    returns: str
+
+
 @dataclass(frozen=True)
 class AggregateFunction:
-    """native: a Spark aggregate expression; otherwise a grouped-aggregate pandas UDF, which stands alone in its agg()."""
+    """native: a Spark aggregate expression; otherwise a grouped-aggregate pandas UDF, which native ones cannot stand beside.
+
+    partial: a reducer whose states merge, so that each batch of rows is reduced before the shuffle (see reduced()).
+    """
 
     name: str
     nargs: int
     build: Callable[..., Column]
     native: bool = True
+    partial: Reducer | None = None
 
 
 @dataclass(frozen=True)
@@ -45,6 +64,65 @@ class TableFunction:
     build: Callable[..., Any]
 
 
+def _of_arity(f: Callable, nargs: int, of: type, result: type) -> Callable:
+    """f as a function of nargs named parameters with these types, whatever f's own say."""
+
+    def one(*columns):
+        return f(*columns)
+
+    names = [f"x{i}" for i in range(nargs)]
+    one.__signature__ = inspect.Signature([inspect.Parameter(n, inspect.Parameter.POSITIONAL_ONLY, annotation=of) for n in names], return_annotation=result)
+    one.__annotations__ = dict.fromkeys(names, of) | {"return": result}
+    return one
+
+
+def reduced(df: DataFrame, keys: list[str], aggs: list[tuple[str, AggregateFunction, list[Column]]]) -> DataFrame:
+    """(keys, name of each aggregate): reducers with merge, as partial states of every batch and their merge.
+
+    A group's states are as many as the batches that it stands in, each pickled, so a hot group is small where it meets.
+    """
+    reducers = [f.partial for _, f, _ in aggs]
+    n = [len(args) for _, _, args in aggs]
+    flat = [c.alias(f"__v{i}") for i, c in enumerate(c for _, _, args in aggs for c in args)]
+    of_key = F.struct(*keys) if keys else F.lit(0)
+    rows = df.select(F.to_binary(F.to_json(of_key, {"ignoreNullFields": "false"}), F.lit("utf-8")).alias("__key") if keys else F.lit(b"").alias("__key"), *keys, *flat)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            states: dict[bytes, list] = {}
+            first: dict[bytes, int] = {}
+            columns = [batch[f"__v{i}"].to_pylist() for i in range(sum(n))]
+            for at, key in enumerate(batch["__key"].to_pylist()):
+                if key not in states:
+                    states[key], first[key] = [r.init() for r in reducers], at
+                own, begin = states[key], 0
+                for i, r in enumerate(reducers):
+                    own[i] = r.update(own[i], *(columns[begin + j][at] for j in range(n[i])))
+                    begin += n[i]
+            taken = batch.select(["__key", *keys]).take(pa.array(list(first.values()), pa.int64()))
+            yield taken.append_column("__state", pa.array([pickle.dumps(states[k]) for k in first], pa.binary()))
+
+    schema = T.StructType([rows.schema["__key"], *[rows.schema[k] for k in keys], T.StructField("__state", T.BinaryType())])
+    states = rows.mapInArrow(partial, schema)
+
+    def merged(series):
+        whole = None
+        for data in series:
+            own = pickle.loads(data)
+            whole = own if whole is None else [r.merge(a, b) for r, a, b in zip(reducers, whole, own, strict=True)]
+        return pickle.dumps([r.finalize(s) for r, s in zip(reducers, whole or [r.init() for r in reducers], strict=True)])
+
+    import pandas as pd
+
+    together = F.pandas_udf(_of_arity(merged, 1, pd.Series, bytes), "binary")
+    one = states.groupBy(*keys).agg(together("__state").alias("__done"))
+
+    def value(i: int) -> Column:
+        return F.udf(lambda data: pickle.loads(data)[i], reducers[i].returns)("__done")
+
+    return one.select(*keys, *[value(i).alias(name) for i, (name, _, _) in enumerate(aggs)])
+
+
 def _spread(x: Column) -> Column:
     return F.stddev_pop(x)
 
@@ -95,20 +173,25 @@ class Registry:
         """Register f, called with pandas Series of a batch of rows."""
         import pandas as pd
 
-        one = {1: lambda a: f(a), 2: lambda a, b: f(a, b), 3: lambda a, b, c: f(a, b, c)}[nargs]
-        one.__annotations__ = dict.fromkeys("abc"[:nargs], pd.Series) | {"return": pd.Series}  # whatever f's own say
+        one = _of_arity(f, nargs, pd.Series, pd.Series)
         self.add(ScalarFunction(name, nargs, F.pandas_udf(one, returns), "str" if returns == "string" else "bool" if returns == "boolean" else "num"))
 
     def aggregate(self, name: str, nargs: int, f: Callable, returns: str = "double") -> None:
         """Register f, called with the columns of a group as pandas Series."""
         import pandas as pd
 
-        one = {1: lambda a: f(a), 2: lambda a, b: f(a, b), 3: lambda a, b, c: f(a, b, c)}[nargs]
-        one.__annotations__ = dict.fromkeys("abc"[:nargs], pd.Series) | {"return": float}
+        one = _of_arity(f, nargs, pd.Series, float)
         self.add(AggregateFunction(name, nargs, F.pandas_udf(one, returns), native=False))
 
-    def incremental(self, name: str, nargs: int, init: Callable, update: Callable, finalize: Callable, returns: str = "double") -> None:
-        """Register a reducer: update(state, *values) over a group's rows, from init(), then finalize(state)."""
+    def incremental(self, name: str, nargs: int, init: Callable, update: Callable, finalize: Callable, returns: str = "double", merge: Callable | None = None) -> None:
+        """Register a reducer: update(state, *values) over a group's rows, from init(), then finalize(state).
+
+        With merge(state, state) every batch is reduced to a state for each of its groups before the shuffle, and the
+        states are merged after it; without it all rows of a group meet in one task.
+        """
+        if merge:
+            self.add(AggregateFunction(name, nargs, lambda *_: None, native=False, partial=Reducer(init, update, merge, finalize, returns)))
+            return
 
         def reduce(*columns):
             state = init()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from planloom import storage
 from planloom.dialect import parse
 from planloom.dialect import syntax as S
 from planloom.engine import Engine
-from planloom.plans.lineage import AllLineage
+from planloom.plans.lineage import BACKWARD, AllLineage, EndToEnd, LineageError, LineagePolicy, NoLineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,8 +65,8 @@ _dialect("scan_alias", "SELECT n.n_name, n.n_regionkey FROM nation AS n", "SELEC
 _dialect("derived_table", "SELECT x, o_custkey FROM (SELECT o_totalprice AS x, o_custkey FROM orders) AS d WHERE d.x > 100000", "SELECT o_totalprice AS x, o_custkey FROM orders WHERE o_totalprice > 100000")
 _dialect(
     "derived_nested",
-    "SELECT * FROM (SELECT o_orderkey, o_totalprice FROM (SELECT * FROM orders WHERE o_orderstatus = 'F') AS a WHERE a.o_totalprice > 1000) AS b WHERE b.o_orderkey < 5000",
-    "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000 AND o_orderkey < 5000",
+    "SELECT * FROM (SELECT o_orderkey, o_totalprice FROM (SELECT * FROM orders WHERE o_orderstatus = 'F') AS a WHERE a.o_totalprice > 1000) AS b WHERE b.o_totalprice < 90000",
+    "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000 AND o_totalprice < 90000",
 )
 _dialect("derived_unnamed", "SELECT * FROM (SELECT r_name FROM region)", "SELECT r_name FROM region")
 _dialect("dummy_scan", "SELECT 1, 'x' AS b, true AS c", "SELECT CAST(1 AS DOUBLE) AS a0, 'x' AS b, CAST(1 AS DOUBLE) AS c")
@@ -133,10 +135,10 @@ def _(spark, sf_dir):
 
 _FIVE_WAY = """SELECT r.r_name, o.o_orderkey FROM orders AS o, region AS r, customer AS c, nation AS n, supplier AS s
  WHERE c.c_custkey = o.o_custkey and n.n_nationkey = c.c_nationkey and r.r_regionkey = n.n_regionkey
- and s.s_nationkey = n.n_nationkey and s.s_suppkey < 20 and o.o_totalprice > 200000"""
+ and s.s_nationkey = n.n_nationkey and s.s_acctbal > 7000 and o.o_totalprice > 200000"""
 _FIVE_WAY_SQL = """SELECT r_name, o_orderkey FROM orders, region, customer, nation, supplier
  WHERE c_custkey = o_custkey AND n_nationkey = c_nationkey AND r_regionkey = n_regionkey
- AND s_nationkey = n_nationkey AND s_suppkey < 20 AND o_totalprice > 200000"""
+ AND s_nationkey = n_nationkey AND s_acctbal > 7000 AND o_totalprice > 200000"""
 _dialect("join_order_catalyst", _FIVE_WAY, _FIVE_WAY_SQL)
 _dialect("join_order_selinger", _FIVE_WAY, _FIVE_WAY_SQL, join_order="selinger")
 _dialect("join_order_exhaustive", _FIVE_WAY, _FIVE_WAY_SQL, join_order="exhaustive")
@@ -144,12 +146,12 @@ _dialect("join_order_exhaustive", _FIVE_WAY, _FIVE_WAY_SQL, join_order="exhausti
 
 @_query(
     "join_plans_tested",
-    "SELECT * FROM (VALUES (1, 1, 0), (2, 10, 8), (3, 35, 32), (4, 100, 126), (5, 260, 574)) AS t(relations, selinger, exhaustive)",
+    "SELECT * FROM (VALUES (1, 1, 0), (2, 10, 8), (3, 35, 32), (4, 100, 126), (5, 260, 574), (6, 640, 3122), (7, 1520, 20070)) AS t(relations, selinger, exhaustive)",
 )
 def _(spark, sf_dir):
     """Plans costed for chains of self-joins."""
     rows = []
-    for n in range(1, 6):
+    for n in range(1, 8):
         tested = []
         for kind in ("selinger", "exhaustive"):
             e = engine(spark, sf_dir, "region", join_order=kind)
@@ -195,11 +197,18 @@ def _(spark, sf_dir):
     return engine(spark, sf_dir, "customer").df(P.Distinct(P.Project(P.Scan("customer"), ["c_nationkey"])))
 
 
-_dialect("order_multi", "SELECT c_custkey, c_nationkey FROM customer ORDER BY c_nationkey ASC, c_custkey DESC LIMIT 40", "SELECT c_custkey, c_nationkey FROM customer ORDER BY c_nationkey, c_custkey DESC LIMIT 40")
-_dialect("order_expr_desc", "SELECT c_custkey FROM customer ORDER BY c_nationkey + 1 desc, -c_custkey LIMIT 25", "SELECT c_custkey FROM customer ORDER BY c_nationkey + 1 DESC, -c_custkey LIMIT 25")
-_dialect("order_source_column", "SELECT -c_custkey AS c_custkey FROM customer ORDER BY c_custkey LIMIT 10", "SELECT -c.c_custkey AS c_custkey FROM customer c ORDER BY c.c_custkey LIMIT 10")
-_dialect("order_const_noop", "SELECT c_custkey FROM customer ORDER BY 1, c_custkey desc, 2 LIMIT 7", "SELECT c_custkey FROM customer ORDER BY c_custkey DESC LIMIT 7")
-_dialect("order_hidden_agg", "SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY sum(o_totalprice) desc, o_custkey LIMIT 12", "SELECT o_custkey FROM orders GROUP BY 1 ORDER BY sum(o_totalprice) DESC, o_custkey LIMIT 12")
+def _sorted(name: str, text: str, oracle: str, order: str) -> None:
+    """Register a whole sort; each row has its place in it (oid)."""
+    tables = sorted(_tables(parse(text)))
+    QUERIES[name] = lambda spark, sf_dir: engine(spark, sf_dir, *tables).lineage(text).result()
+    SQL[name] = f"SELECT * EXCLUDE (k), row_number() OVER (ORDER BY {order}) - 1 AS oid FROM ({oracle})"
+
+
+_sorted("order_multi", "SELECT c_custkey, c_nationkey FROM customer ORDER BY c_nationkey ASC, c_custkey DESC", "SELECT c_custkey, c_nationkey, 0 AS k FROM customer", "c_nationkey, c_custkey DESC")
+_sorted("order_expr_desc", "SELECT c_custkey FROM customer ORDER BY c_nationkey + 1 desc, -c_custkey", "SELECT c_custkey, c_nationkey AS k FROM customer", "k + 1 DESC, -c_custkey")
+_sorted("order_source_column", "SELECT -c_custkey AS c_custkey FROM customer ORDER BY c_custkey", "SELECT -c.c_custkey AS c_custkey, c.c_custkey AS k FROM customer c", "k")
+_sorted("order_const_noop", "SELECT c_custkey FROM customer ORDER BY 1, c_custkey desc, 2", "SELECT c_custkey, 0 AS k FROM customer", "c_custkey DESC")
+_sorted("order_hidden_agg", "SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY sum(o_totalprice) desc, o_custkey", "SELECT o_custkey, sum(o_totalprice) AS k FROM orders GROUP BY 1", "k DESC, o_custkey")
 _dialect("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20")
 _dialect("limit_const_expr", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT (2*2)-1 OFFSET 1+1", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 3 OFFSET 2")
 _dialect("limit_boolean", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT true", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1")
@@ -244,6 +253,23 @@ def _(spark, sf_dir):
     return e.df("SELECT c_mktsegment, squares(c_nationkey) AS x FROM customer GROUP BY c_mktsegment")
 
 
+@_query("udf_inc_agg_merge", "SELECT o_orderstatus, round(sum(o_totalprice * o_custkey) / count(*), 2) AS x, count(*) AS n FROM orders GROUP BY 1")
+def _(spark, sf_dir):
+    """States are merged, so that batches are reduced before the shuffle."""
+    e = engine(spark, sf_dir, "orders")
+    e.functions.incremental("mean_of", 2, lambda: (0.0, 0), lambda s, a, b: (s[0] + a * b, s[1] + 1), lambda s: s[0] / s[1], merge=lambda s, t: (s[0] + t[0], s[1] + t[1]))
+    return _rounded(e.df("SELECT o_orderstatus, mean_of(o_totalprice, o_custkey) AS x, count(o_orderkey) AS n FROM orders GROUP BY o_orderstatus"), 2)
+
+
+@_query("udf_agg_arity", "SELECT l_returnflag, round(sum(l_quantity + l_extendedprice + l_discount + l_tax), 2) AS x, max(l_quantity) AS y FROM lineitem GROUP BY 1")
+def _(spark, sf_dir):
+    """Functions of any number of arguments, two of them in one shuffle."""
+    e = engine(spark, sf_dir, "lineitem")
+    e.functions.aggregate("all_four", 4, lambda a, b, c, d: float((a + b + c + d).sum()))
+    e.functions.aggregate("top", 1, lambda a: float(a.max()))
+    return _rounded(e.df("SELECT l_returnflag, all_four(l_quantity, l_extendedprice, l_discount, l_tax) AS x, top(l_quantity) AS y FROM lineitem GROUP BY l_returnflag"), 2)
+
+
 @_query("udf_table", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 5")
 def _(spark, sf_dir):
     e = engine(spark, sf_dir, "nation")
@@ -268,6 +294,16 @@ def _(spark, sf_dir):
     return e.df("SELECT n_nationkey, n_name FROM n WHERE n_regionkey = 2")
 
 
+@_query("scan_csv_crawl", "SELECT n_nationkey, n_name FROM nation")
+def _(spark, sf_dir):
+    """Every file below a folder, by its name."""
+    root = storage.scratch(spark)
+    spark.read.parquet(f"{sf_dir}/nation.parquet").coalesce(1).write.option("header", True).csv(f"{root}/deep/er")
+    e = engine(spark, sf_dir)
+    (name,) = e.catalog.crawl_csv(root)
+    return e.df(f"SELECT n_nationkey, n_name FROM `{name}`")
+
+
 @_query("scan_pandas", "SELECT r_name FROM region WHERE r_regionkey > 1")
 def _(spark, sf_dir):
     e = engine(spark, sf_dir)
@@ -293,6 +329,27 @@ def _(spark, sf_dir):
     return spark.createDataFrame(list(rows), "n_name string")
 
 
+@_query("sink_collect", "SELECT r_regionkey, r_name FROM region")
+def _(spark, sf_dir):
+    rows = engine(spark, sf_dir, "region").run(P.Collect(P.Project(P.Scan("region"), ["r_regionkey", "r_name"])))
+    return spark.createDataFrame([tuple(r) for r in rows], spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name").schema)
+
+
+@_query("sink_print", "SELECT CAST(r_regionkey AS VARCHAR) || chr(9) || r_name AS line FROM region")
+def _(spark, sf_dir):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        engine(spark, sf_dir, "region").run(P.Print(P.Project(P.Scan("region"), ["r_regionkey", "r_name"])))
+    return spark.createDataFrame([(line,) for line in out.getvalue().splitlines()], "line string")
+
+
+@_query("sink_code", "SELECT * FROM (VALUES ('Filter', true), ('GeneratedIterator', true), ('Scan', true)) AS t(part, there)")
+def _(spark, sf_dir):
+    """The generated code, as text."""
+    code = engine(spark, sf_dir, "nation").code("SELECT n_name FROM nation WHERE n_regionkey = 1")
+    return spark.createDataFrame([(p, p in code) for p in ("Filter", "GeneratedIterator", "Scan")], "part string, there boolean")
+
+
 # Lineage: edges as (source, oid, iid)
 
 
@@ -358,6 +415,75 @@ def _(spark, sf_dir):
     return engine(spark, sf_dir, "nation").lineage(plan, AllLineage()).edges(kept)
 
 
+@_query("lineage_back", f"{_LINEAGE_JOIN_SQL} SELECT oid, c AS iid FROM j WHERE oid IN (0, 7, 40)")
+def _(spark, sf_dir):
+    return engine(spark, sf_dir, "customer", "nation").lineage(_LINEAGE_JOIN).back([0, 7, 40], "c")
+
+
+@_query(
+    "lineage_back_two_groups",
+    """WITH r AS (SELECT *, row_number() OVER () - 1 AS rid FROM orders),
+     g AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
+     h AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS oid FROM g GROUP BY 1)
+     SELECT 'orders' AS source, oid, rid AS iid FROM r JOIN g USING (o_custkey) JOIN h USING (n)""",
+)
+def _(spark, sf_dir):
+    """A grouping of a grouping."""
+    text = "SELECT d.n, count(d.k) AS m FROM (SELECT o_custkey AS k, count(o_orderkey) AS n FROM orders GROUP BY o_custkey) AS d GROUP BY d.n ORDER BY d.n"
+    return _edges(engine(spark, sf_dir, "orders"), text, "orders")
+
+
+@_query(
+    "lineage_back_distinct",
+    """WITH r AS (SELECT *, row_number() OVER () - 1 AS rid FROM customer),
+     g AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS oid FROM customer GROUP BY 1)
+     SELECT 'customer' AS source, oid, rid AS iid FROM r JOIN g USING (c_mktsegment)""",
+)
+def _(spark, sf_dir):
+    return _edges(engine(spark, sf_dir, "customer"), "SELECT DISTINCT c_mktsegment FROM customer ORDER BY c_mktsegment", "customer")
+
+
+@_query(
+    "lineage_back_files",
+    "SELECT 't' AS source, row_number() OVER (ORDER BY s_suppkey) - 1 AS oid, row_number() OVER (ORDER BY s_suppkey % 5 = 0 DESC, s_suppkey) - 1 AS iid FROM supplier",
+)
+def _(spark, sf_dir):
+    """Two files, the second much the larger: rows are numbered by file and place."""
+    root, all_of = storage.scratch(spark), spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    for part, cond in (("part=1", "s_suppkey % 5 = 0"), ("part=2", "s_suppkey % 5 <> 0")):
+        all_of.where(cond).coalesce(1).sortWithinPartitions("s_suppkey").write.parquet(f"{root}/{part}")
+    e = engine(spark, sf_dir)
+    e.catalog.register_parquet(root, "t")
+    return _edges(e, "SELECT s_name FROM t ORDER BY s_suppkey", "t")
+
+
+@_query(
+    "lineage_path",
+    "SELECT row_number() OVER (ORDER BY n_name) - 1 AS oid, rid AS iid FROM (SELECT *, row_number() OVER () - 1 AS rid FROM nation WHERE n_regionkey > 1)",
+)
+def _(spark, sf_dir):
+    """One path, backward only, from the result to a filter inside."""
+    kept = P.Filter(P.Scan("nation"), "n_regionkey > 1")
+    plan = P.Project(P.OrderBy(kept, ["n_name"]), ["n_name"])
+    policy = LineagePolicy()
+    policy.add_path(kept, plan, BACKWARD)
+    lineage = engine(spark, sf_dir, "nation").lineage(plan, policy)
+    n = lineage.result().count()
+    return lineage.back(list(range(n)), kept)
+
+
+@_query("lineage_none", "SELECT * FROM (VALUES ('none', false), ('end to end', true), ('all', true)) AS t(policy, captured)")
+def _(spark, sf_dir):
+    """Which policies let an end-to-end question be asked."""
+    rows, plan = [], P.Project(P.Scan("region"), ["r_name"])
+    for name, policy in (("none", NoLineage()), ("end to end", EndToEnd()), ("all", AllLineage())):
+        try:
+            rows.append((name, engine(spark, sf_dir, "region").lineage(plan, policy).back(0, "region").count() == 1))
+        except LineageError:
+            rows.append((name, False))
+    return spark.createDataFrame(rows, "policy string, captured boolean")
+
+
 # End to end
 
 _dialect(
@@ -373,6 +499,19 @@ _dialect(
 )
 _FUSED = " and ".join(f"(l_quantity > {j - 20})" for j in range(19))
 _dialect("fusion_filters", f"SELECT l_orderkey, l_quantity FROM lineitem WHERE {_FUSED}", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > -2")
+
+
+@_query("fusion_equalities", " UNION ALL ".join(f"SELECT {k} AS k, count(*) AS n FROM lineitem WHERE {' AND '.join(f'l_linenumber = {j}' for j in range(1, k + 1))}" for k in range(1, 20, 2)))
+def _(spark, sf_dir):
+    """Ever more equalities with one column."""
+    e, out = engine(spark, sf_dir, "lineitem"), None
+    for k in range(1, 20, 2):
+        where = " and ".join(f"(l_linenumber = {j})" for j in range(1, k + 1))
+        one = e.df(f"SELECT count(l_orderkey) AS n FROM lineitem WHERE {where}").select(F.lit(k).alias("k"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
 _dialect(
     "events_by_type",
     "SELECT event_type, count(event_id) AS n, avg(value) AS a FROM events WHERE value > 1 GROUP BY event_type",

@@ -4,8 +4,12 @@ A row's id is its place in its operator's output, from 0. Ids travel as ordinary
 joins and sorts compose them for free. At a grouping no list of ids is gathered; the grouping's tagged input is kept
 beside it and joined on the group's keys when edges are asked for, so a group's rows never meet in one task's memory.
 
-Numbering is exact and distributed: the rows are written to the shared folder in order, each partition is counted, and
-a row's id is its place in its partition after the rows of the partitions before.
+Through several groupings these inputs are joined one after the other, and DISTINCT is a grouping by all columns.
+
+Numbering is exact and distributed. A scan of files numbers its rows by file, in order of the paths, and place in the
+file, which the reader tells; only the rows of each file are counted, from one column of metadata, and the offsets joined.
+Ids so depend on neither file sizes nor splits. Other rows are written to the shared folder in order, each partition is
+counted, and a row's id is its place in its partition after the rows of the partitions before.
 """
 
 from __future__ import annotations
@@ -13,7 +17,9 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field, fields, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from planloom import operators as P
@@ -67,13 +73,35 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     place, part = "__place", "__part"
     df, _ = storage.materialise(df.withColumn(place, F.monotonically_increasing_id()))
     df = df.withColumn(part, F.shiftright(place, 33))
-    counts = {r[part]: r["n"] for r in df.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each partition
-    starts, at = [], 0
-    for p in sorted(counts):
-        starts += [F.lit(p), F.lit(at)]
-        at += counts[p]
-    start = F.create_map(*starts)[F.col(part)] if starts else F.lit(0)
-    return df.withColumn(name, (F.col(place) - F.shiftleft(F.col(part), 33) + start).cast("long")).drop(place, part)
+    out = df.join(_offsets(df, part), part, "left")
+    return out.withColumn(name, (F.col(place) - F.shiftleft(F.col(part), 33) + F.col("__start")).cast("long")).drop(place, part, "__start")
+
+
+def _offsets(df: DataFrame, part: str) -> DataFrame:
+    """(part, __start): how many rows the parts before have; a row for each partition or file."""
+    before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    return df.groupBy(part).agg(F.count(F.lit(1)).alias("n")).select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+
+
+def scanned(df: DataFrame, name: str) -> DataFrame | None:
+    """df, a bare scan of files, with each row's place in them by path and row; None for anything else."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() == "Project":
+        plan = plan.child()
+    if plan.nodeName() != "LogicalRelation" and not plan.nodeName().startswith("Relation"):
+        return None
+    path, row = "__path", "__row"
+    try:
+        numbers = df.withColumns({path: F.col("_metadata.file_path"), row: F.col("_metadata.row_index")})
+        numbers.schema  # noqa: B018  readers without row numbers are refused here
+        df = numbers
+    except AnalysisException:
+        # written once: in a block of a file rows stand in order, and blocks in order of where they begin
+        block = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+        df, _ = storage.materialise(df.withColumns({path: block, "__place": F.monotonically_increasing_id()}))
+        least = df.groupBy(path).agg(F.min("__place").alias("__least"))
+        df = df.join(least, path).withColumn(row, F.col("__place") - F.col("__least")).drop("__place", "__least")
+    return df.join(_offsets(df, path), path).withColumn(name, (F.col(row) + F.col("__start")).cast("long")).drop(path, row, "__start")
 
 
 def _named(plan: P.Plan) -> set[str]:
@@ -119,7 +147,8 @@ class Lineage:
             if isinstance(plan, P.Scan) and _projected(top, plan):  # what no expression names is not written
                 kept = tuple(f for f in r.fields if f.name in used)
                 r = replace(r, df=r.df.select(*[f.column for f in kept]), fields=kept)
-            return replace(r, df=numbered(r.df, name), tags=r.tags | {name: name})
+            df = scanned(r.df, name) if isinstance(plan, P.Scan) else None
+            return replace(r, df=numbered(r.df, name) if df is None else df, tags=r.tags | {name: name})
 
         lowering = self.engine.lowering(tag=tag)
         return lowering, lowering.lower(top), names
@@ -154,14 +183,26 @@ class Lineage:
         """(oid, iid) of one tag."""
         if name in r.tags:
             return df.select("oid", F.col(r.tags[name]).alias("iid"))
-        for m in r.members:
-            if name in m.tags:
+        for path in self._paths(r.members, name):
+            now = df
+            for m in path:
                 on = F.lit(True)
                 for a, b in m.keys:
-                    on = on & df[a].eqNullSafe(m.df[b])
-                return df.join(m.df, on).select("oid", F.col(m.tags[name]).alias("iid"))
+                    on = on & F.col(a).eqNullSafe(F.col(b))
+                # what the next grouping needs, and each output row once for it
+                needed = [k for k, _ in path[path.index(m) + 1].keys] if m is not path[-1] else [m.tags[name]]
+                now = now.join(m.df.select(*[b for _, b in m.keys], *needed).distinct() if m is not path[-1] else m.df, on)
+                now = now.select("oid", *needed).distinct() if m is not path[-1] else now.select("oid", F.col(needed[0]).alias("iid"))
+            return now
         raise LineageError("there is no path between the two")
 
+    def _paths(self, members, name: str) -> list[list]:
+        """The groupings from the top down to the one whose input has the tag."""
+        out = []
+        for m in members:
+            out += [[m]] if name in m.tags else [[m, *p] for p in self._paths(m.inner, name)]
+        return out
+
     def edges(self, source: P.Plan | str, top: P.Plan | None = None) -> DataFrame:
         """(oid, iid): rows of top (the result by default) and the rows of source that they come from."""
         top, source = top or self.plan, self.node(source)

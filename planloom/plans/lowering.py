@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 
 from planloom import operators as P
 from planloom.dialect import syntax as S
-from planloom.functions import AggregateFunction, FunctionError, Registry
+from planloom.functions import AggregateFunction, FunctionError, Registry, reduced
 from planloom.plans.binder import BindError, constant, count_of, swap
 from planloom.sources import Catalog, kind_of
 
 
+#: The whole numbers of each integral type.
+_RANGES = {name: (-(1 << bits - 1), (1 << bits - 1) - 1) for name, bits in (("tinyint", 8), ("smallint", 16), ("int", 32), ("bigint", 64))}
+
+
 class KindError(TypeError):
     """An operator applied to a kind that it is not for."""
 
@@ -32,6 +36,7 @@ class Field:
     name: str
     kind: str
     column: str  # internal name
+    type: str = ""  # of a source's column, as Spark names it
 
 
 @dataclass(frozen=True)
@@ -41,6 +46,7 @@ class Members:
     df: DataFrame
     keys: tuple[tuple[str, str], ...]
     tags: dict[str, str]
+    inner: tuple[Members, ...] = ()  # of groupings below, whose keys df has
 
 
 @dataclass(frozen=True)
@@ -60,6 +66,7 @@ class Lowering:
     def __init__(self, spark: SparkSession, catalog: Catalog, functions: Registry, strict_empty: bool = False, tag: Callable[[P.Plan, Relation], Relation] | None = None):
         self.spark, self.catalog, self.functions = spark, catalog, functions
         self.strict_empty = strict_empty
+        self.tagging = tag is not None
         self.tag = tag or (lambda plan, r: r)
         self._made = 0
 
@@ -83,7 +90,7 @@ class Lowering:
                 f = self.functions.get(plan.name, len(plan.args))
                 r = self.source(f.build(self.spark, *map(constant, plan.args)), plan.alias)
             case P.Derived():
-                r = self.lower(plan.child)
+                r = self.lower(self.unsorted(plan.child))
                 r = replace(r, fields=tuple(replace(f, table=plan.alias) for f in r.fields))
             case P.OneRow():
                 r = Relation(self.spark.range(1).select(), ())
@@ -109,10 +116,7 @@ class Lowering:
                 n, skip = count_of(plan.limit), count_of(plan.offset)
                 r = replace(r, df=(r.df.offset(skip) if skip else r.df).limit(n))
             case P.Distinct():
-                r = self.lower(plan.child)
-                if r.tags or r.members:
-                    raise BindError("lineage does not go through DISTINCT; group by the columns")
-                r = replace(r, df=r.df.select(*[f.column for f in r.fields]).distinct(), order=())
+                r = self.distinct(self.lower(plan.child))
             case P.Sink():
                 return self.lower(plan.child)
             case _:
@@ -122,7 +126,7 @@ class Lowering:
     # sources and joins
 
     def source(self, df: DataFrame, alias: str) -> Relation:
-        fields = tuple(Field(alias, f.name, kind_of(f.dataType), self.fresh(f"{alias}_{f.name}")) for f in df.schema)
+        fields = tuple(Field(alias, f.name, kind_of(f.dataType), self.fresh(f"{alias}_{f.name}"), f.dataType.simpleString()) for f in df.schema)
         return Relation(df.toDF(*[f.column for f in fields]), fields)
 
     def both(self, a: Relation, b: Relation, cond: Column | None) -> Relation:
@@ -158,7 +162,8 @@ class Lowering:
         made, fields = [], []
         for e, name in zip(plan.exprs, plan.aliases, strict=True):
             c, kind = self.expr(e, r.fields)
-            fields.append(Field(None, name, kind, self.fresh(name)))
+            of = self.matched(e, r.fields).type if isinstance(e, S.Column) else ""
+            fields.append(Field(None, name, kind, self.fresh(name), of))
             made.append(c.alias(fields[-1].column))
         held = self.held(r)
         return replace(r, df=r.df.select(*made, *held), fields=tuple(fields), order=())
@@ -182,7 +187,7 @@ class Lowering:
             key = next((of_key[g] for g in of_key if isinstance(g, S.Column) and self.matched(g, scope) == f), None)
             if key is None:
                 loose[self.fresh(f"last_{f.name}")] = f
-            fields.append(replace(f, column=key or list(loose)[-1]))
+            fields.append(replace(f, column=key or list(loose)[-1]))  # of the same type
         aggs: dict[S.Expr, tuple[str, AggregateFunction, list[Column]]] = {}
 
         def lifted(e: S.Expr) -> S.Expr:
@@ -203,19 +208,23 @@ class Lowering:
         if loose:
             last = F.max_by(F.struct(*[F.col(f.column).alias(k) for k, f in loose.items()]), order)
             native.append(last.alias("__last"))
-        own = [(name, f.build(*args).alias(name)) for name, f, args in aggs.values() if not f.native]
-        out = df.groupBy(*keys).agg(*native) if native else df.select(*keys).distinct() if keys and not own else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")) if not own else None
-        for _, agg in own:  # a pandas aggregate cannot share an agg() with others
-            one = df.groupBy(*keys).agg(agg)
-            if out is None:
-                out = one
-                continue
+        whole = [(name, f, args) for name, f, args in aggs.values() if not f.native and not f.partial]
+        parts = [(name, f, args) for name, f, args in aggs.values() if f.partial]
+        frames = [df.groupBy(*keys).agg(*native)] if native else []
+        if whole:  # pandas aggregates share one shuffle, but not with native ones
+            frames.append(df.groupBy(*keys).agg(*[f.build(*args).alias(name) for name, f, args in whole]))
+        if parts:
+            frames.append(reduced(df, list(keys), parts))
+        if not frames:
+            frames.append(df.select(*keys).distinct() if keys else df.groupBy().agg(F.count(F.lit(1)).alias("__rows")))
+        out = frames[0]
+        for one in frames[1:]:
             renamed = one.withColumnsRenamed({k: f"{k}_r" for k in keys})
-            on = [out[k].eqNullSafe(renamed[f"{k}_r"]) for k in keys]
-            cond = on[0] if on else None
-            for o in on[1:]:
-                cond = cond & o
-            out = (out.join(renamed, cond) if on else out.crossJoin(renamed)).drop(*[f"{k}_r" for k in keys])
+            cond = None
+            for k in keys:
+                on = out[k].eqNullSafe(renamed[f"{k}_r"])
+                cond = on if cond is None else cond & on
+            out = (out.crossJoin(renamed) if cond is None else out.join(renamed, cond)).drop(*[f"{k}_r" for k in keys])
         if loose:
             out = out.select("*", "__last.*")
         if not keys and self.strict_empty and aggs:
@@ -228,12 +237,32 @@ class Lowering:
             shown.append(Field(None, name, kind, self.fresh(name)))
             made.append(c.alias(shown[-1].column))
         members = r.members
-        if r.tags:
-            renamed = tagged.select(*[F.col(k).alias(f"{k}_m") for k in keys], *r.tags.values())
-            members = (*members, Members(renamed, tuple((k, f"{k}_m") for k in keys), dict(r.tags)))
-        if r.members:
-            raise BindError("lineage goes through one grouping only; tag the inner one")
-        return Relation(out.select(*made, *(keys if r.tags else [])), tuple(shown), {}, members)
+        if r.tags or r.members:
+            renamed = tagged.select(*[F.col(k).alias(f"{k}_m") for k in keys], *self.held(r))
+            members = (Members(renamed, tuple((k, f"{k}_m") for k in keys), dict(r.tags), r.members),)
+        return Relation(out.select(*made, *(keys if members else [])), tuple(shown), {}, members)
+
+    def unsorted(self, plan: P.Plan) -> P.Plan:
+        """A query in FROM without the sort that only orders its rows: joins and groups above do not see it.
+
+        Where row ids are taken the sort stays, as a row's place is its id.
+        """
+        if self.tagging:
+            return plan
+        if isinstance(plan, P.Project) and plan.child is not None:
+            child = self.unsorted(plan.child)
+            return plan if child is plan.child else replace(plan, child=child)
+        return plan.child if isinstance(plan, P.OrderBy) else plan
+
+    def distinct(self, r: Relation) -> Relation:
+        columns, members = [f.column for f in r.fields], ()
+        if r.tags or r.members:  # a grouping by all columns
+            renamed = r.df.select(*[F.col(c).alias(f"{c}_m") for c in columns], *self.held(r))
+            members = (Members(renamed, tuple((c, f"{c}_m") for c in columns), dict(r.tags), r.members),)
+            fields = tuple(replace(f, column=self.fresh(f.name)) for f in r.fields)
+            df = r.df.select(*columns).distinct().select("*", *[F.col(c).alias(f.column) for c, f in zip(columns, fields, strict=True)])
+            return Relation(df, fields, {}, members)
+        return replace(r, df=r.df.select(*columns).distinct(), order=())
 
     def sorted(self, plan: P.OrderBy) -> Relation:
         """Rows that tie keep the order in which the child makes them; constants sort nothing."""
@@ -288,6 +317,24 @@ class Lowering:
             raise KindError(f"Type error in expression: {ak} {op} {bk}")
         return {"=": a == b, "<>": a != b, "<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[op]
 
+    def whole(self, e: S.Expr, other: S.Expr, fields: tuple[Field, ...]) -> Column | None:
+        """A whole number beside an integral column as a literal of the column's type, so that scans see the comparison.
+
+        Beside anything else numbers are doubles, to which a comparison would cast the column, off the scan's filters and
+        inexact above 2 ** 53.
+        """
+        value = -e.operand.value if isinstance(e, S.Unary) and e.op == "-" and isinstance(e.operand, S.Number) else e.value if isinstance(e, S.Number) else None
+        if value is None or not isinstance(other, S.Column) or isinstance(value, float) and not value.is_integer():
+            return None
+        f = self.matched(other, fields)
+        low, high = _RANGES.get(f.type, (1, 0))
+        return F.lit(int(value)).cast(f.type) if low <= int(value) <= high else None
+
+    def sides(self, op: str, a: S.Expr, b: S.Expr, fields: tuple[Field, ...]) -> Column:
+        (x, xk), (y, yk) = self.expr(a, fields), self.expr(b, fields)
+        left, right = self.whole(a, b, fields), self.whole(b, a, fields)
+        return self.compared(op, x if left is None else left, xk, y if right is None else right, yk)
+
     def expr(self, e: S.Expr, fields: tuple[Field, ...]) -> tuple[Column, str]:
         match e:
             case S.Number(value=v):
@@ -316,26 +363,29 @@ class Lowering:
                     raise KindError("like is for strings")
                 return c.like(p), "bool"
             case S.Binary(op=op, left=a, right=b):
-                (x, xk), (y, yk) = self.expr(a, fields), self.expr(b, fields)
                 if op in ("+", "-", "*", "/"):
+                    (x, xk), (y, yk) = self.expr(a, fields), self.expr(b, fields)
                     x, y = self.numeric(x, xk, op), self.numeric(y, yk, op)
                     return {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: x / y}[op](), "num"
                 if op == "like":
                     raise KindError("like needs a literal pattern")
-                return self.compared(op, x, xk, y, yk), "bool"
+                return self.sides(op, a, b, fields), "bool"
             case S.Between(value=v, low=lo, high=hi):
                 (x, xk), (a, ak), (b, bk) = (self.expr(p, fields) for p in (v, lo, hi))
                 if xk == ak == bk == "str":
                     return x.between(a, b), "bool"
-                return self.compared(">=", x, xk, a, ak) & self.compared("<=", x, xk, b, bk), "bool"
+                return self.sides(">=", v, lo, fields) & self.sides("<=", v, hi, fields), "bool"
             case S.InList(value=v, items=items):
                 x, xk = self.expr(v, fields)
                 out = None
                 listed = [self.expr(i, fields) for i in items]
                 if all(isinstance(i, (S.Number, S.Text)) for i in items) and all(k == xk for _, k in listed):
+                    known = [self.whole(i, v, fields) for i in items]
+                    if all(c is not None for c in known):
+                        return x.isin(known), "bool"
                     return x.isin([i.value for i in items]), "bool"
-                for c, k in listed:
-                    one = self.compared("=", x, xk, c, k)
+                for i in items:
+                    one = self.sides("=", v, i, fields)
                     out = one if out is None else out | one
                 return out, "bool"
             case S.Call(name=name, args=args):

@@ -184,6 +184,9 @@ def ordered(plan: P.Plan, catalog: Catalog, sides, kind: str) -> tuple[P.Plan, i
         if not isinstance(node, P.From):
             return node
         edges, filters = [], []
+        for s in (s for s in node.sources if isinstance(s, P.Scan)):  # one scan of a table for all that is asked of it
+            known = {n for n, _ in catalog.schema(s.table)}
+            catalog.stats(s.table).gather([c.name for p in node.predicates for c in p.columns() if c.table in (None, s.alias) and c.name in known])
         for p in node.predicates:
             of = sides(node.sources, p)
             parts = [(sides(node.sources, x), x) for x in (p.left, p.right)] if isinstance(p, S.Binary) and p.op == "=" else []

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEPARATORS = (",", "|", "\t")
+#: Relative standard deviation of the estimated numbers of distinct values.
+DEVIATION = 0.01
 
 
 class UnknownTable(KeyError):
@@ -27,23 +29,33 @@ def kind_of(t: T.DataType) -> str:
 
 @dataclass
 class Stats:
-    """A table's cardinality, and a column's minimum, maximum and number of distinct values, each computed once."""
+    """A table's cardinality, and a column's minimum, maximum and (estimated) number of distinct values.
+
+    One scan computes the cardinality and the columns asked for together, each once.
+    """
 
     df: DataFrame
     _card: int | None = None
     _columns: dict[str, dict] = field(default_factory=dict)
 
+    def gather(self, names: list[str]) -> None:
+        """The cardinality and these columns' statistics, those not known yet, in one scan."""
+        new = [n for n in dict.fromkeys(names) if n not in self._columns]
+        if not new and self._card is not None:
+            return
+        of = lambda n: F.struct(F.min(f"`{n}`").alias("min"), F.max(f"`{n}`").alias("max"), F.approx_count_distinct(f"`{n}`", DEVIATION).alias("ndistinct"))
+        row = self.df.agg(F.count(F.lit(1)).alias("n"), *[of(n).alias(f"c{i}") for i, n in enumerate(new)]).first()
+        self._card = row["n"]
+        for i, n in enumerate(new):
+            self._columns[n] = row[f"c{i}"].asDict()
+
     @property
     def card(self) -> int:
-        if self._card is None:
-            self._card = self.df.count()
+        self.gather([])
         return self._card
 
     def column(self, name: str) -> dict:
-        if name not in self._columns:
-            c = F.col(f"`{name}`")
-            row = self.df.agg(F.min(c).alias("min"), F.max(c).alias("max"), F.count_distinct(c).alias("ndistinct")).first()
-            self._columns[name] = row.asDict()
+        self.gather([name])
         return self._columns[name]
 
 
