@@ -8,6 +8,9 @@ def edges(lineage, name):
     return sorted(map(tuple, lineage.edges(name).select("oid", "iid").collect()))
 
 
+# The four queries of test_sorts, test_filter and test_three_way_join have edges that must hold exactly.
+
+
 @pytest.mark.parametrize("text", ["SELECT * from data ORDER BY 1", "SELECT a+b FROM data ORDER BY a"])
 def test_sorts(engine, text):
     assert edges(engine.lineage(text), "data") == [(i, i) for i in range(20)]
@@ -47,6 +50,37 @@ def test_descending(engine):
     assert edges(engine.lineage("SELECT e FROM data ORDER BY a desc LIMIT 3"), "data") == [(0, 19), (1, 18), (2, 17)]
 
 
+def test_groupings_of_groupings(engine):
+    text = "SELECT q.n, count(q.b) AS m FROM (SELECT b, count(a) AS n FROM data WHERE a < 18 GROUP BY b) AS q GROUP BY q.n ORDER BY q.n"
+    lineage = engine.lineage(text)
+    assert [tuple(r) for r in lineage.result().orderBy("oid").collect()] == [(3, 2, 0), (4, 3, 1)]
+    assert edges(lineage, "data") == sorted((0 if a % 5 > 2 else 1, a) for a in range(18))
+    three = engine.lineage(f"SELECT count(r.n) AS z FROM ({text}) AS r")
+    assert edges(three, "data") == [(0, a) for a in range(18)]
+
+
+def test_distinct(engine):
+    assert edges(engine.lineage("SELECT DISTINCT c FROM data ORDER BY c"), "data") == sorted((a % 2, a) for a in range(20))
+    text = "SELECT q.b FROM (SELECT DISTINCT b, c FROM data) AS q WHERE q.c = 1 ORDER BY q.b desc"
+    assert edges(engine.lineage(text), "data") == sorted((4 - a % 5, a) for a in range(20) if a % 2)
+
+
+@pytest.mark.parametrize("kind", ["parquet", "csv"])
+def test_rows_are_numbered_by_file(spark, tmp_path, kind):
+    """Of the files in order of their names, however large each is."""
+    import pandas as pd
+
+    from planloom.engine import Engine
+
+    first, second = (pd.DataFrame({"k": range(a, b)}) for a, b in ((0, 10), (10, 30_000)))
+    for name, part in (("a", first), ("b", second)):
+        part.to_parquet(tmp_path / name) if kind == "parquet" else part.to_csv(tmp_path / name, index=False)
+    e = Engine(spark, views=False)
+    e.catalog.register_parquet(str(tmp_path), "t") if kind == "parquet" else e.catalog.register_csv(str(tmp_path), "t")
+    lineage = e.lineage("SELECT k FROM t WHERE k > 4 and k < 14 ORDER BY k desc")
+    assert edges(lineage, "t") == [(i, 13 - i) for i in range(9)]
+
+
 def test_policies(engine):
     scan = P.Scan("data")
     kept = P.Filter(scan, "a > 14")
