@@ -205,8 +205,10 @@ def test_merging_reducers(engine):
     rows = df.collect()
     assert len(rows) == 6 and all(r[1] == r[2] for r in rows) and sum(r[4] for r in rows) == 20
     assert {r["e"]: r[3] for r in rows} == {e: max((x[6] for x in data_rows() if x[4] == e), key=lambda v: (len(v), v)) for e in {x[4] for x in data_rows()}}
-    one = engine.df("SELECT fast(a, f) FROM data")
-    assert one.collect()[0][0] == sum(a * (2 * a + 2) for a in range(20)) / 20
+    assert engine.df("SELECT fast(a, f) FROM data").collect()[0][0] == sum(a * (2 * a + 2) for a in range(20)) / 20
+    engine.catalog.register("wide", engine.spark.range(0, 100, 1, 4))
+    one = engine.df("SELECT fast(id, id) FROM wide")
+    assert one.collect()[0][0] == sum(i * i for i in range(100)) / 100
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Exchange") < plan.index("MapInArrow")  # printed from the top: reduced below the shuffle
 
