@@ -4,13 +4,14 @@ Two zstandard dictionaries are built from labelled texts. A text is cut into chu
 compressed with both, so that a long text does not become its own dictionary. Its features are normalised compressed
 sizes: the difference of the two over all chunks, the lowest difference of a chunk (bad passages in good text), and the
 size against the text's own (text that repeats itself). A logistic regression, fitted to training texts that its
-dictionaries have not seen, turns them into a score; its bias puts DECISION where both classes are as likely.
+dictionaries have not seen, both classes weighing alike, turns them into odds; times the odds of the labels, counted over
+all labels outside the held-out fold, these are the probability of label 1, which is the score.
 
 The dictionaries learn from at most MAX_PER_CLASS documents of each class and have a fixed size.
 
 Defined cases: a null text counts as empty; an empty text has features 0, 0 and 1; ties and repeated rows are scored one
-by one; without labelled rows of both classes every score is DECISION; an empty table gives an empty result; clashing
-input columns are replaced by the result's.
+by one; texts of any length are compressed whole, a chunk at a time; without labelled rows of both classes every score is
+DECISION; an empty table gives an empty result; clashing input columns are replaced by the result's.
 """
 
 from __future__ import annotations
@@ -74,14 +75,15 @@ class Compressors:
 class Model:
     dictionaries: tuple[bytes, bytes]  # bad, good
     weights: np.ndarray
+    rate: float = 0.5  # of label 1
 
     def score(self, features: np.ndarray) -> np.ndarray:
-        z = features @ self.weights[:-1] + self.weights[-1] + np.log(DECISION / (1 - DECISION))
+        z = features @ self.weights[:-1] + self.weights[-1] + np.log(self.rate / (1 - self.rate))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(rows: list[tuple[str, int]]) -> Model | None:
-    """From (text, label); None without two texts of each class."""
+def train(rows: list[tuple[str, int]], rate: float = 0.5) -> Model | None:
+    """From (text, label) and the rate of label 1; None without two texts of each class."""
     rows = [r for r in dict.fromkeys(rows) if r[0]]
     rows = [(t.encode("utf-8", "replace"), label) for t, label in rows]
     # Every class in turn to either half, so that both halves have both.
@@ -100,7 +102,7 @@ def train(rows: list[tuple[str, int]]) -> Model | None:
                 x.append(c.features(t.decode("utf-8", "replace")))
                 y.append(label)
     both = tuple(_dictionary([t for t, label in rows if label == k]) for k in (0, 1))
-    return Model(both, training.logistic(np.array(x), np.array(y)))
+    return Model(both, training.logistic(np.array(x), np.array(y)), min(max(rate, 0.001), 0.999))
 
 
 def score(df: DataFrame, model: Model | None, text: str = "text", name: str = "score") -> DataFrame:
@@ -120,7 +122,7 @@ def score(df: DataFrame, model: Model | None, text: str = "text", name: str = "s
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model | None:
-    model = train(training.labelled(docs, labels, "quality", max_per_class))
+    model = train(training.labelled(docs, labels, "quality", max_per_class), training.rate(labels, "quality"))
     common.release()
     return model
 

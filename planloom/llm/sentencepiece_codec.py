@@ -11,7 +11,7 @@ pieces, which gives piece and score of every substring at once.
   score merges, all units of a length at a time.
 
 Pieces come from a model file whose path is a parameter; the driver reads it and sends it to the executors (its size is
-that of the vocabulary). Units longer than LONG take a scalar merge. Models with a character map for normalisation are
+that of the vocabulary). Units longer than LONG take a scalar merge or Viterbi with the same ids. Models with a character map for normalisation are
 refused.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; characters without a piece become byte
@@ -149,9 +149,9 @@ class Codec:
             while end < len(units) and len(units[end]) == n and end - at < max(1, UNITS_AT_ONCE * 8 // n):
                 end += 1
             some = units[at:end]
-            if n > LONG and self.v.kind == _BPE:
+            if n > LONG:  # one by one, in memory that grows with the length only
                 for u in some:
-                    self.cache[u] = self._ids(u, self._merge_long(u))
+                    self.cache[u] = self._ids(u, self._merge_long(u) if self.v.kind == _BPE else self._viterbi_long(u))
             else:
                 chars = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), n)
                 found = self._probe(chars)
@@ -232,6 +232,25 @@ class Codec:
             rows = rows[start > 0]
         return follow
 
+    def _viterbi_long(self, unit: str) -> list[int]:
+        """The same best path for one long unit."""
+        n, known, scores = len(unit), self.v.index, self.v.scores
+        best, back = np.full(n + 1, -np.inf, np.float32), np.zeros(n + 1, np.int64)
+        best[0] = 0
+        for end in range(1, n + 1):
+            for start in range(max(0, end - self.longest), end):  # of equal paths the longest piece
+                i = known.get(unit[start:end])
+                if i is None and start < end - 1:
+                    continue
+                s = best[start] + (np.float32(self.least) if i is None else scores[i])
+                if s > best[end]:
+                    best[end], back[end] = s, start
+        follow, end = [0] * n, n
+        while end:
+            follow[back[end]] = end
+            end = int(back[end])
+        return follow
+
     def _merge(self, scores: np.ndarray) -> np.ndarray:
         w, n, most = scores.shape
         follow = np.minimum(np.tile(np.arange(1, n + 3), (w, 1)), n)  # of the place n too

@@ -1,16 +1,19 @@
-"""Toxicity by two class-conditional Kneser-Ney word models.
+"""Toxicity by class ratios over one Kneser-Ney word model that both classes share.
 
-Both classes share a Kneser-Ney bigram model (absolute discount, continuation counts below). A class rescales it by its
-own marginals: for words by their Kneser-Ney continuation counts in the class against those that the shared model
+This departs from comparing the likelihoods of two plain class-conditional Kneser-Ney models, which failed on the labels
+here (README). Both classes share a Kneser-Ney bigram model (absolute discount, continuation counts below). A class
+rescales it by its own marginals: for words by their continuation counts in the class against those that the shared model
 expects, for bigrams by their counts against those expected. Both are smoothed towards the shared model by STRENGTH
-expected observations, so an expression that is rare in either class says next to nothing. A text's score is the
-logistic of its length-normalised log-likelihood difference.
+expected observations, so an expression that is rare in either class says next to nothing. In the ratio of the classes
+the shared probability cancels, so what a text is scored by is the sum of the log-ratios of its words' rescaled
+probabilities, each drawn towards 0 by DEAD_ZONE, over its length and PRIOR_WORDS more; the logistic of it is the score.
 
-The models learn from a bounded sample of labelled documents (training.MAX_PER_CLASS of each class). Words are hashed to
-WORD_SLOTS and bigrams to PAIR_SLOTS, so what is sent to the executors has a fixed size however large the vocabulary is.
+The counts come from a bounded sample of labelled documents (training.MAX_PER_CLASS of each class, training.MAX_BYTES).
+Words are hashed to WORD_SLOTS and bigrams to PAIR_SLOTS without telling collisions apart, so what is sent to the
+executors has a fixed size however large the vocabulary is.
 
 Defined cases: a null text counts as empty; a text without words has difference 0 and so the score of the bias; ties and
-repeated rows are scored one by one; without labelled rows of both classes every score is 0; an empty table gives an
+repeated rows are scored one by one; texts of any length are scored whole; without labelled rows of both classes every score is 0; an empty table gives an
 empty result; clashing input columns are replaced by the result's.
 """
 
@@ -63,7 +66,7 @@ def _pairs(slots: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Counts of both classes and the models that they share."""
+    """Counts of both classes and the model that they share."""
 
     marginal: np.ndarray  # (2, WORD_SLOTS) float32: p(word | class) / p(word)
     pairs: np.ndarray  # (2, PAIR_SLOTS) float32: bigram counts of each class
@@ -73,7 +76,7 @@ class Model:
     weights: np.ndarray  # slope and bias of the calibration
 
     def difference(self, slots: np.ndarray) -> float:
-        """log p(toxic) - log p(ordinary), normalised by the length."""
+        """The mean log-ratio of the classes' rescaled probabilities, less DEAD_ZONE each, over the length and PRIOR_WORDS."""
         if not len(slots):
             return 0.0
         before, pair = np.concatenate([[0], slots[:-1]]), _pairs(slots)

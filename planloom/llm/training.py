@@ -5,10 +5,13 @@ from __future__ import annotations
 import zlib
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: At most this many labelled documents of each class are learned from.
 MAX_PER_CLASS = 2500
+#: At most this many bytes of their texts are learned from; the documents of the smallest seeded hashes come first.
+MAX_BYTES = 64 << 20
 #: Documents whose crc32 leaves 0 are held out.
 FOLDS = 5
 
@@ -26,11 +29,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, max_per_class: int
     """(text, label) of at most max_per_class documents of each class outside the held-out fold.
 
     The ids come from the small labels table, the smallest seeded hashes first, so reruns learn from the same rows. A
-    document whose label rows disagree is left out. Ordered by id, whole texts.
+    document whose label rows disagree is left out; of rows that repeat an id the smallest text counts, picked before
+    anything goes to the driver. Ordered by id, whole texts, up to MAX_BYTES of them.
     """
-    y = F.col(label)
-    one = labels.where(y.isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    one = one.groupBy("doc_id").agg(F.min(y.cast("int")).alias("y"), F.max(y.cast("int")).alias("y2")).where("y = y2 and y in (0, 1)")
+    one = _agreed(labels, label)
     picked = []
     for c in (0, 1):
         rows = one.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class).collect()
@@ -38,8 +40,22 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, max_per_class: int
     if not picked:
         return []
     by_id = dict(picked)
-    texts = docs.where(F.col("doc_id").isin(list(by_id))).select("doc_id", "text").collect()
-    return [(r["text"] or "", by_id[r["doc_id"]]) for r in sorted(texts, key=lambda r: (r["doc_id"], r["text"] or ""))]
+    texts = docs.where(F.col("doc_id").isin(list(by_id))).groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    order = W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0)  # at most 2 max_per_class rows
+    texts = texts.withColumn("upto", F.sum(F.octet_length("text").cast("long")).over(order)).where(F.col("upto") <= MAX_BYTES)
+    return [(r["text"], by_id[r["doc_id"]]) for r in texts.orderBy("doc_id").select("doc_id", "text").collect()]
+
+
+def _agreed(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y, y2) of the documents outside the held-out fold whose label rows agree."""
+    y = F.col(label)
+    one = labels.where(y.isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return one.groupBy("doc_id").agg(F.min(y.cast("int")).alias("y"), F.max(y.cast("int")).alias("y2")).where("y = y2 and y in (0, 1)")
+
+
+def rate(labels: DataFrame, label: str) -> float:
+    """The share of label 1 among the documents outside the held-out fold, counted over all labels; 0.5 without any."""
+    return _agreed(labels, label).agg(F.avg("y")).first()[0] or 0.5
 
 
 def logistic(x, y, steps: int = 50, ridge: float = 1e-3):

@@ -6,9 +6,10 @@ regression trained from a small labelled URL table decides. Rules are looked up
 number costs memory only; the table of rules and the weights (2 ** BITS) are sent to the executors once and the rows
 are never shuffled.
 
-Defined cases: a null url, or one without `://`, has an empty host and path, which no rule fits and which the method
-allows; ties are decided as above; repeated rows are judged one by one; an empty table gives an empty result; clashing
-input columns are replaced by the result's.
+Defined cases: a null url, or one without `://`, has an empty host and path, and one like `file:///x` an empty host; no rule
+fits these, and the method judges the n-grams there are. Urls of any length are judged whole. Ties are decided as above;
+repeated rows are judged one by one; an empty table gives an empty result; clashing input columns are replaced by the
+result's.
 """
 
 from __future__ import annotations
@@ -160,7 +161,7 @@ class Filter:
         row, slot = _grams(hosts, paths)
         n = np.bincount(row, minlength=len(hosts))
         z = np.bincount(row, self.weights[slot], minlength=len(hosts)) / np.sqrt(np.maximum(n, 1)) + self.bias
-        return np.where([bool(h) for h in hosts], 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def train(labelled=LABELLED, rules=RULES, steps: int = 400, rate: float = 2.0, decay: float = 1e-3) -> Filter:

@@ -69,6 +69,89 @@ def test_quality(tables):
     assert len(rows) == 400 + len(awkward()) and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def brute_toxicity(docs, y, text):
+    """The score's sum from counts in dictionaries, a word at a time."""
+    from collections import Counter
+    from math import log
+
+    cut = lambda t: [T._slots(w, {})[0] for w in T._WORD.findall(t.lower())]
+    pairs, firsts, follows = [Counter(), Counter()], [Counter(), Counter()], [set(), set()]
+    for t, label in zip(docs, y, strict=True):
+        words = cut(t)
+        for a, b in zip([0, *words], words, strict=False):
+            pairs[label][a, b] += 1
+            firsts[label][a] += 1
+            follows[label].add((a, b))
+    kinds = [Counter(b for _, b in f) for f in follows]
+    total = [sum(k.values()) for k in kinds]
+    after = Counter(a for a, _ in follows[0] | follows[1])
+    shared = lambda w: (kinds[0][w] + kinds[1][w] + 0.5) / (sum(total) + 0.5 * T.WORD_SLOTS)
+    words, out = cut(text), 0.0
+    for a, b in zip([0, *words], words, strict=False):
+        n, c = [f[a] for f in firsts], [p[a, b] for p in pairs]
+        backoff = min(T.DISCOUNT * after[a] / sum(n), 1) if sum(n) else 1
+        p = max(sum(c) - T.DISCOUNT, 0) / max(sum(n), 1) + backoff * shared(b)
+        of = []
+        for k in (0, 1):
+            own = (kinds[k][b] + T.STRENGTH) / (total[k] * shared(b) + T.STRENGTH)
+            of.append(own * (c[k] + T.PAIR_STRENGTH) / (n[k] * p * own + T.PAIR_STRENGTH))
+        r = log(of[1] / of[0])
+        out += (abs(r) > T.DEAD_ZONE) * (abs(r) - T.DEAD_ZONE) * (1 if r > 0 else -1)
+    return out / (len(words) + T.PRIOR_WORDS)
+
+
+def test_toxicity_against_brute_force():
+    docs, labels = labelled(120)
+    texts, y = [t for _, t, *_ in docs], [x[2] for x in labels]
+    model = T._fit([T._slots(t, {}) for t in texts], __import__("numpy").array(y))
+    for t in [*texts[::10], "never seen words", INSULTS[0], " ".join(INSULTS) + " " + texts[3]]:
+        assert abs(model.difference(T._slots(t, {})) - brute_toxicity(texts, y, t)) < 1e-4
+
+
+def test_quality_is_calibrated(tables):
+    """Mean and Brier score of the held-out fold against the rate and a constant; features a chunk at a time."""
+    import numpy as np
+    import zstandard
+
+    docs, labels = tables
+    model = C.learn(docs, labels)
+    truth = {i: q for i, q, _ in labelled()[1]}
+    rows = [r for r in C.score(docs, model).collect() if r["doc_id"] in truth and training.fold(r["doc_id"]) == 0]
+    p, y = np.array([r["score"] for r in rows]), np.array([truth[r["doc_id"]] for r in rows])
+    assert abs(p.mean() - y.mean()) < 0.06 and ((p - y) ** 2).mean() < 0.5 * y.mean() * (1 - y.mean())
+    text = rows[0]["text"].encode()
+    sizes = []
+    for d in model.dictionaries:
+        zd = zstandard.ZstdCompressionDict(d)
+        c = zstandard.ZstdCompressor(dict_data=zd, level=C.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes.append([len(c.compress(text[i : i + C.CHUNK])) for i in range(0, len(text), C.CHUNK)])
+    bad, good = map(np.array, sizes)
+    mean, least, own = (bad.sum() - good.sum()) / (bad.sum() + good.sum()), ((bad - good) / (bad + good)).min(), good.sum() / len(text)
+    assert np.allclose(C.Compressors(model.dictionaries).features(rows[0]["text"]), (mean, least, min(1, own)))
+    rate = np.mean([q for i, q in truth.items() if training.fold(i)])
+    z = np.array([mean, least, min(1, own)]) @ model.weights[:-1] + model.weights[-1] + np.log(rate / (1 - rate))
+    assert abs(rows[0]["score"] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+
+def test_repeated_ids_and_bytes(spark, tables, monkeypatch):
+    """A labelled id that repeats is one document, its smallest text; texts end where the bytes do."""
+    docs, labels = tables
+    twice = docs.union(docs.selectExpr("doc_id", "'0' AS text", "lang", "source", "n_chars"))
+    assert {t for t, _ in training.labelled(twice, labels, "toxic")} == {"0"}
+    assert len(training.labelled(twice, labels, "toxic")) == len(training.labelled(docs, labels, "toxic"))
+    monkeypatch.setattr(training, "MAX_BYTES", 5000)
+    some = training.labelled(docs, labels, "toxic")
+    assert 0 < len(some) < 40 and sum(len(t.encode()) for t, _ in some) <= 5000
+
+
+def test_clashing_columns(tables):
+    docs, labels = tables
+    clash = docs.selectExpr("*", "'x' AS score", "'y' AS label", "'z' AS upto", "'w' AS y")
+    for m in (T, C):
+        out = m.score(clash, m.learn(clash, labels))
+        assert dict(out.dtypes)["score"] == "double" and dict(out.dtypes)["label"] == "string" and len(out.columns) == len(clash.columns)
+
+
 def test_same_model_every_time(tables):
     docs, labels = tables
     a, b = (T.learn(d, labels) for d in (docs, docs.repartition(5)))

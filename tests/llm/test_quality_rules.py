@@ -38,7 +38,17 @@ def test_cascade_order(spark):
     from pyspark.sql import functions as F
 
     rules = (Q.Rule("never", lambda m: F.length(m.text) < 0), Q.Rule("often", lambda m: F.length(m.text) > 100))
-    assert [r.name for r, _, _ in Q.plan_cascade(documents(spark), rules)] == ["often", "never"]
+    assert [r.name for r, _, _ in Q.plan_cascade(documents(spark), rules, spread=1)] == ["often", "never"]
+
+
+def test_cost_and_selectivity_change_places(spark):
+    """A dear rule that rejects all stands behind a cheap one that rejects some, until the row has its metric."""
+    rules = (Q.Rule("dear", lambda m: m.n_repeat_words >= 0), Q.Rule("cheap", lambda m: m.n_words > 100))
+    order = lambda *columns: [r.name for r, _, _ in Q.plan_cascade(documents(spark), rules, columns=columns, spread=1)]
+    assert order("n_words") == ["cheap", "dear"]
+    assert order("n_words", "n_repeat_words") == ["dear", "cheap"]
+    (_, cheap, some), (_, dear, all_of) = Q.plan_cascade(documents(spark), rules, columns=("n_words",), spread=1)
+    assert dear > 1000 * cheap and all_of == 1.0 and 0 < some < 1
 
 
 def test_empty_table_and_clashing_columns(spark):

@@ -96,3 +96,32 @@ def test_refuses_models_with_a_character_map():
     m.normalizer_spec.precompiled_charsmap = b"x"
     with pytest.raises(ValueError):
         S.Vocabulary.parse(m)
+
+
+def test_long_units_of_a_unigram_model():
+    """A unit longer than LONG takes the scalar Viterbi: the same path as the batched one."""
+    import numpy as np
+    from sentencepiece import sentencepiece_model_pb2
+
+    from planloom.llm import sentencepiece_codec as SP
+
+    m = sentencepiece_model_pb2.ModelProto()
+    m.trainer_spec.model_type = 1
+    for p, score, kind in [("<unk>", 0.0, 2), ("a", -2.0, 1), ("b", -2.5, 1), ("ab", -3.0, 1), ("ba", -3.1, 1), ("aab", -4.0, 1), ("abba", -4.2, 1)]:
+        m.pieces.add(piece=p, score=score, type=kind)
+    codec = SP.Codec(SP.Vocabulary.parse(m))
+    r = np.random.default_rng(3)
+    for n in (1, 7, SP.LONG, 500):
+        unit = "".join(r.choice(list("abc"), n, p=[0.5, 0.45, 0.05]))
+        chars = np.frombuffer(unit.encode("utf-32-le"), np.uint32).reshape(1, n)
+        found = codec._probe(chars)
+        scores = np.where(found >= 0, codec.v.scores[found], np.float32(-np.inf))
+        follow, plain = codec._viterbi(scores)[0].tolist(), codec._viterbi_long(unit)
+        a, b, places = 0, 0, []
+        while a < n:
+            places.append(a)
+            a = follow[a]
+        while b < n:
+            assert b in places
+            b = plain[b]
+        assert codec._ids(unit, follow) == codec._ids(unit, plain)

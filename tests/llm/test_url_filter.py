@@ -66,6 +66,27 @@ def test_method(spark):
     assert (U.train().weights == f.weights).all()
 
 
+def test_held_out_urls():
+    """Every twelfth of the labelled table left out in turn."""
+    hits = []
+    for k in range(12):
+        f = U.train([x for i, x in enumerate(U.LABELLED) if i % 12 != k])
+        for u, y in U.LABELLED[k::12]:
+            h, s, p = u.partition("/")
+            hits.append((f.blocked([h], [s + p])[0] >= 0.5) == bool(y))
+    print("held out", sum(hits) / len(hits))
+    assert sum(hits) >= 0.7 * len(hits)
+
+
+def test_urls_without_a_host(spark):
+    """The method judges what there is: a path alone, or nothing."""
+    f = U.train()
+    got = {r["url"]: (r["host"], r["verdict"], r["p_block"]) for r in U.judge(table(spark, ["file:///casino/jackpot/free-chips/poker-win", "x", None])).collect()}
+    p = f.blocked([""], ["/casino/jackpot/free-chips/poker-win"])[0]
+    assert got["file:///casino/jackpot/free-chips/poker-win"] == ("", "block" if p >= 0.5 else "allow", p) and p > f.blocked([""], [""])[0]
+    assert got["x"][1] == got[None][1] == "allow"
+
+
 def test_longest_rule_and_many_rules(spark):
     rules = [*U.RULES, *((f"h{i}.org/", "block") for i in range(500)), ("b.h7.org/", "allow")]
     f = U.train(rules=rules)
