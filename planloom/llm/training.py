@@ -59,10 +59,15 @@ def rate(labels: DataFrame, label: str) -> float:
 
 
 def logistic(x, y, steps: int = 50, ridge: float = 1e-3):
-    """Weights (bias last) of a logistic regression on a few features, by Newton's method; both classes weigh alike."""
+    """Weights (bias last) of a logistic regression on a few features, by Newton's method; both classes weigh alike.
+
+    The ridge holds for features in units of their deviation, so that small features are not flattened.
+    """
     import numpy as np
 
-    x = np.column_stack([np.asarray(x, float).reshape(len(y), -1), np.ones(len(y))])
+    x = np.asarray(x, float).reshape(len(y), -1)
+    mean, spread = x.mean(0), np.maximum(x.std(0), 1e-9)
+    x = np.column_stack([(x - mean) / spread, np.ones(len(y))])
     y = np.asarray(y, float)
     share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     w = np.zeros(x.shape[1])
@@ -74,4 +79,6 @@ def logistic(x, y, steps: int = 50, ridge: float = 1e-3):
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
+    w[:-1] /= spread
+    w[-1] -= w[:-1] @ mean
     return w
