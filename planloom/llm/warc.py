@@ -2,19 +2,22 @@
 
 Writing: every page becomes a request, a response (or a revisit of an equal payload) and a metadata record. A record ends
 with two line ends, so Spark's own text writer with that separator writes valid archives, gzipped, into the shared
-folder; `records_per_file` bounds their size. Of pages with equal payloads of at least MIN_REVISIT bytes the one with the
+folder. Pages of over LARGE bytes get archives of their own and others share one with up to RECORDS_PER_FILE records, so
+that an archive holds a gigabyte at most, a single larger page apart. Of pages with equal payloads of at least MIN_REVISIT bytes the one with the
 smallest id is the response and the others revisit it. Digests are grouped with partial aggregation in a table without
 payloads, and the revisits are joined to the pages by the page's id, so that a payload that a third of the pages share
 makes no hot task.
 
-Reading: each archive is one row of Spark's binary reader, parsed by Content-Length into records.
+Reading: each archive is one row of Spark's binary reader. It is unzipped as a stream and parsed by Content-Length, a
+record at a time.
 
-Assembly: request and metadata records are joined to their response or revisit through WARC-Concurrent-To, all sides
-dealt by that identifier once, and each capture is one nested row.
+Assembly: all records are dealt once by the identifier of their capture, which is WARC-Concurrent-To of request and
+metadata records and the response's or revisit's own identifier, and each capture is one nested row.
 
 Defined cases: a null payload is empty; a null url writes no WARC-Target-URI, and spaces and control characters of a url
 are written as %20; pages with a null id are responses, each for itself; rows that repeat a page's id are captures of
-their own, told apart by an ordinal in order of url and payload; a request or metadata record without its response is
+their own, told apart by an ordinal in order of url and payload (rows with a null id by url and payload themselves, so
+that they never meet); payloads of any length are written and read whole; a request or metadata record without its response is
 left out of the assembly, a response without them has empty lists; an empty table writes an empty archive.
 """
 
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +36,8 @@ from pyspark.sql import functions as F
 from planloom.llm import common
 
 MIN_REVISIT = 100
-RECORDS_PER_FILE = 3000
+RECORDS_PER_FILE = 1000
+LARGE = 1 << 20
 DATE = "2020-01-01T00:00:00Z"
 END = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -50,7 +55,7 @@ def _field(name: str, value: Column) -> Column:
 
 
 def _record_id(kind: str, page_id: Column, ordinal: Column) -> Column:
-    h = F.md5(F.concat_ws(":", F.lit(kind), F.coalesce(page_id.cast("string"), F.lit("null")), ordinal.cast("string")))
+    h = F.md5(F.concat_ws(":", F.lit(kind), page_id.cast("string"), ordinal.cast("string")))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -75,10 +80,14 @@ def write_archives(df: DataFrame, path: str, page_id: str = "page_id", url: str
     spark = df.sparkSession
     pages = df.select(F.col(page_id).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     pages = pages.withColumns({"bytes": F.octet_length("html").cast("long"), "digest": F.sha2("html", 256), "ordinal": F.lit(0)})
-    thin, thin_path = common.materialise(pages.select("id", "ordinal", "bytes", "digest"))
-    if not thin.groupBy("id").count().where("count > 1").isEmpty():
-        pages = pages.withColumn("ordinal", F.row_number().over(W.partitionBy("id").orderBy("url", "html")) - 1)
-        thin, thin_path = common.materialise(pages.select("id", "ordinal", "bytes", "digest"))
+    alone = F.concat_ws(":", F.lit("null"), F.md5(F.coalesce("url", F.lit(""))), F.col("url").isNull().cast("string"), "digest")
+    pages = pages.withColumn("name", F.coalesce(F.col("id").cast("string"), alone))
+    thin, thin_path = common.materialise(pages.select("id", "name", "ordinal", "bytes", "digest"))
+    large = not thin.where(F.col("bytes") > LARGE).isEmpty()
+    if not thin.groupBy("name").count().where("count > 1").isEmpty():
+        pages = pages.withColumn("ordinal", F.row_number().over(W.partitionBy("name").orderBy("url", "html")) - 1)
+        common.discard(spark, thin_path)
+        thin, thin_path = common.materialise(pages.select("id", "name", "ordinal", "bytes", "digest"))
     able = thin.where((F.col("bytes") >= min_revisit) & F.col("id").isNotNull())
     firsts = able.groupBy("digest").agg(F.min(F.struct("id", "ordinal")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = able.join(firsts, "digest").where(F.struct("id", "ordinal") > F.col("first"))
@@ -87,7 +96,7 @@ def write_archives(df: DataFrame, path: str, page_id: str = "page_id", url: str
 
     target = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
     uri = _field("WARC-Target-URI", target)
-    own, revisited = _record_id("response", F.col("id"), F.col("ordinal")), F.col("first").isNotNull()
+    own, revisited = _record_id("response", F.col("name"), F.col("ordinal")), F.col("first").isNotNull()
     http = _lines("HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", _field("Content-Length", F.col("bytes")), "")
     response = _record(
         F.when(revisited, "revisit").otherwise("response"),
@@ -100,27 +109,32 @@ def write_archives(df: DataFrame, path: str, page_id: str = "page_id", url: str
         _field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
     )
     asked = _lines(F.concat(F.lit("GET "), F.coalesce(F.regexp_extract(target, r"://[^/?#]*([^#]*)", 1), F.lit("/")), F.lit(" HTTP/1.1")), _field("Host", F.regexp_extract(target, r"://([^/?#]*)", 1)), "")
-    request = _record("request", _record_id("request", F.col("id"), F.col("ordinal")), asked, "application/http;msgtype=request", uri, _field("WARC-Concurrent-To", own))
+    request = _record("request", _record_id("request", F.col("name"), F.col("ordinal")), asked, "application/http;msgtype=request", uri, _field("WARC-Concurrent-To", own))
     fields = _lines(_field("page-id", F.col("id")), _field("payload-bytes", F.col("bytes")), _field("refers-to-page", F.col("first.id")))
-    metadata = _record("metadata", _record_id("metadata", F.col("id"), F.col("ordinal")), fields, "application/warc-fields", uri, _field("WARC-Concurrent-To", own))
+    metadata = _record("metadata", _record_id("metadata", F.col("name"), F.col("ordinal")), fields, "application/warc-fields", uri, _field("WARC-Concurrent-To", own))
     # The separator that the writer puts behind every row is the end of a record.
-    out = pages.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    out.write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    records = F.explode(F.array(request, response, metadata)).alias("value")
+    for some, most in ((F.col("bytes") <= LARGE, records_per_file), (F.col("bytes") > LARGE, 3))[: 1 + large]:
+        out = pages.where(some).select(records) if large else pages.select(records)
+        out.write.mode("append").option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
     common.discard(spark, thin_path, again_path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of every record of an archive, gzipped (in one or many members) or plain."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = data.find(b"WARC/")
-    while at >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(head["content-length"])
-        yield head, data[end + 4 : end + 4 + size]
-        at = data.find(b"WARC/", end + 4 + size)
+    """(header fields in lower case, block) of every record of an archive, gzipped (in one or many members) or plain.
+
+    The archive is read as a stream, so that of what it unzips to one record is held at a time.
+    """
+    packed = data[:2] == b"\x1f\x8b"
+    with io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)), 1 << 16) if packed else io.BytesIO(data) as stream:
+        while line := stream.readline():
+            if not line.startswith(b"WARC/"):
+                continue
+            head = {}
+            while (line := stream.readline()).strip():
+                k, _, v = line.decode("utf-8", "replace").partition(":")
+                head[k.strip().lower()] = v.strip()
+            yield head, stream.read(int(head["content-length"]))
 
 
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, declared_digest string, fields map<string,string>, payload_bytes long, payload_digest string, payload binary"
@@ -160,12 +174,13 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row for every capture: record_id, response, requests and metadata (lists of records)."""
-    own = [c for c in records.columns if c != "concurrent_to"]
-    of = lambda kind, name: records.where(F.col("type") == kind).groupBy(F.col("concurrent_to").alias("record_id")).agg(F.collect_list(F.struct(*own)).alias(name))
-    captures = records.where(F.col("type").isin("response", "revisit")).select("record_id", F.struct(*own).alias("response"))
-    out = captures.join(of("request", "requests"), "record_id", "left").join(of("metadata", "metadata"), "record_id", "left")
-    none = F.array().cast(records.select(F.array(F.struct(*own)).alias("x")).schema["x"].dataType)
-    return out.withColumns({c: F.coalesce(c, none) for c in ("requests", "metadata")})
+    own = F.struct(*[c for c in records.columns if c != "concurrent_to"])
+    capture = F.col("type").isin("response", "revisit")
+    known = records.where(capture | F.col("type").isin("request", "metadata"))
+    of = lambda kind: F.collect_list(F.when(F.col("type") == kind, own))
+    each = known.groupBy(F.when(capture, F.col("record_id")).otherwise(F.col("concurrent_to")).alias("record_id"))
+    out = each.agg(F.collect_list(F.when(capture, own)).alias("captures"), of("request").alias("requests"), of("metadata").alias("metadata"))
+    return out.select("record_id", F.explode("captures").alias("response"), "requests", "metadata")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -176,7 +191,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     return captures.select(
         fields["page-id"].cast("long").alias("page_id"),
         F.when(revisit, fields["payload-bytes"].cast("long")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
-        F.when(revisit, F.substring("response.declared_digest", 8, 64)).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
+        F.when(revisit, F.regexp_extract("response.declared_digest", "^(?:sha256:)?(.*)$", 1)).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
         F.col("response.type").alias("record_type"),
         fields["refers-to-page"].cast("long").alias("refers_to"),
         F.size("requests").alias("n_requests"),

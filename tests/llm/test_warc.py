@@ -103,3 +103,32 @@ def test_missing_partners(spark):
     records = A.read_archives(spark, path, payloads=False).where("type != 'request'")
     assert A.assemble(records.where("type != 'metadata'")).where(F.size("metadata") + F.size("requests") == 0).count() == 3
     assert A.assemble(records.where("type = 'metadata'")).collect() == []
+
+
+def test_large_pages(spark, tmp_path):
+    """Pages of megabytes stand in archives of their own, and come back whole."""
+    import hashlib
+
+    big = ["<p>" + chr(97 + i % 26) * (3 << 20) + str(i) for i in range(12)]
+    rows = [(i, f"http://e.org/{i}", h) for i, h in enumerate([*big, "small", big[0]])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    A.write_archives(df, f"file://{tmp_path}/w")
+    assert len(list((tmp_path / "w").glob("*.gz"))) >= 14
+    got = A.assemble(A.read_archives(spark, f"file://{tmp_path}/w", payloads=False)).collect()
+    digests = {r["response"]["target_uri"]: r["response"]["payload_digest"] for r in got if r["response"]["type"] == "response"}
+    assert digests == {u: hashlib.sha256(h.encode()).hexdigest() for i, u, h in rows if i != 13} and len(got) == 14
+
+
+def test_many_pages_without_an_id(spark, tmp_path):
+    """They are told apart by url and payload and never meet, also where ids repeat."""
+    rows = [(None, f"http://e.org/{i}", f"page {i}") for i in range(40)] + [(1, "http://e.org/x", "a"), (1, "http://e.org/y", "b"), (None, None, None), (None, None, None)]
+    A.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    got = A.assemble(A.read_archives(spark, f"file://{tmp_path}/w")).collect()
+    assert len(got) == 44 and len({r["record_id"] for r in got}) == 44
+    assert all(len(r["requests"]) == len(r["metadata"]) == 1 for r in got)
+
+
+def test_one_pass_over_the_archives(spark, tmp_path):
+    A.write_archives(spark.createDataFrame([(1, "http://e.org/x", "a")], "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    plan = A.assemble(A.read_archives(spark, f"file://{tmp_path}/w"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("binaryFile") == 1
