@@ -23,9 +23,8 @@ left out of the assembly, a response without them has empty lists; an empty tabl
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,6 +42,8 @@ END = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of blocks that a batch of parsed records carries at most, a single larger record apart.
 BATCH_BYTES = 16 << 20
+#: Bytes of an archive that are unzipped at once.
+PART_BYTES = 4 << 20
 
 
 def _lines(*lines: Column | str) -> Column:
@@ -120,21 +121,47 @@ def write_archives(df: DataFrame, path: str, page_id: str = "page_id", url: str
     common.discard(spark, thin_path, again_path)
 
 
+def _unzipped(data: bytes) -> Iterator[bytes]:
+    """An archive's bytes in parts, gzipped (in one or many members) or plain."""
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof and data:
+            part = member.decompress(data, PART_BYTES)
+            data = member.unconsumed_tail
+            if part:
+                yield part
+        data = member.unused_data.lstrip(b"\0")
+    if data:
+        yield data
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of every record of an archive, gzipped (in one or many members) or plain.
+    """(header fields in lower case, block) of every record of an archive.
 
-    The archive is read as a stream, so that of what it unzips to one record is held at a time.
+    The archive is unzipped in parts, so that a part and a record of it are held at a time.
     """
-    packed = data[:2] == b"\x1f\x8b"
-    with io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)), 1 << 16) if packed else io.BytesIO(data) as stream:
-        while line := stream.readline():
-            if not line.startswith(b"WARC/"):
-                continue
-            head = {}
-            while (line := stream.readline()).strip():
-                k, _, v = line.decode("utf-8", "replace").partition(":")
-                head[k.strip().lower()] = v.strip()
-            yield head, stream.read(int(head["content-length"]))
+    parts, text, at = _unzipped(data), b"", 0
+    while True:
+        start = text.find(b"WARC/", at)
+        end = text.find(b"\r\n\r\n", start) if start >= 0 else -1
+        if end < 0:
+            part = next(parts, b"")
+            if not part:
+                return
+            text, at = text[start if start >= 0 else max(at, len(text) - 4) :] + part, 0
+            continue
+        lines = text[start:end].decode("utf-8", "replace").split("\r\n")[1:]
+        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        at, size = end + 4, int(head["content-length"])
+        if len(text) - at < size:
+            whole = [text[at:]]
+            have = len(whole[0])
+            while have < size and (part := next(parts, b"")):
+                whole.append(part)
+                have += len(part)
+            text, at = b"".join(whole), 0
+        yield head, text[at : at + size]
+        at += size
 
 
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, declared_digest string, fields map<string,string>, payload_bytes long, payload_digest string, payload binary"

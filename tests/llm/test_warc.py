@@ -132,3 +132,17 @@ def test_one_pass_over_the_archives(spark, tmp_path):
     A.write_archives(spark.createDataFrame([(1, "http://e.org/x", "a")], "page_id long, url string, html string"), f"file://{tmp_path}/w")
     plan = A.assemble(A.read_archives(spark, f"file://{tmp_path}/w"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("binaryFile") == 1
+
+
+def test_records_across_parts(monkeypatch):
+    """Wherever the unzipped parts end, in headers, blocks or between members, the records are the same."""
+    record = lambda i, n: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\n" % (i, n) + bytes([65 + i % 26]) * n + b"\r\n\r\n"
+    sizes = [0, 1, 7, 300, 5000, 3]
+    one = b"".join(record(i, n) for i, n in enumerate(sizes))
+    members = b"".join(gzip.compress(record(i, n)) for i, n in enumerate(sizes))
+    for data in (one, gzip.compress(one), members):
+        for part in (1, 5, 64, 1 << 20):
+            monkeypatch.setattr(A, "PART_BYTES", part)
+            got = list(A.parse(data))
+            assert [(h["warc-record-id"], b) for h, b in got] == [(f"<{i}>", bytes([65 + i % 26]) * n) for i, n in enumerate(sizes)]
+    assert list(A.parse(b"")) == []
