@@ -8,9 +8,12 @@ expected observations, so an expression that is rare in either class says next t
 the shared probability cancels, so what a text is scored by is the sum of the log-ratios of its words' rescaled
 probabilities, each drawn towards 0 by DEAD_ZONE, over its length and PRIOR_WORDS more; the logistic of it is the score.
 
-The counts come from a bounded sample of labelled documents (training.MAX_PER_CLASS of each class, training.MAX_BYTES).
-Words are hashed to WORD_SLOTS and bigrams to PAIR_SLOTS without telling collisions apart, so what is sent to the
-executors has a fixed size however large the vocabulary is.
+The counts are of all labelled documents outside the held-out fold, gathered in Spark, so they grow with the corpus: each
+text counts once for each class, its bigrams are counted where it is read, and only the sums by slot go to the driver.
+Words are hashed to WORD_SLOTS and bigrams to PAIR_SLOTS without telling collisions apart, so these sums and what is sent
+to the executors have a fixed size however large the vocabulary is. Only the calibration (slope and bias) is fitted to a
+bounded sample, training.MAX_PER_CLASS documents of each class and training.MAX_BYTES: each is scored by a model of the
+half of the texts that it does not belong to.
 
 Defined cases: a null text counts as empty; a text without words has difference 0 and so the score of the bias; ties and
 repeated rows are scored one by one; texts of any length are scored whole; without labelled rows of both classes every score is 0; an empty table gives an
@@ -21,12 +24,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planloom.llm import common, training
@@ -42,6 +46,8 @@ DEAD_ZONE = 1.0
 #: Words without evidence that are added to each text's length, so that a few words alone decide little.
 PRIOR_WORDS = 20
 CACHE_WORDS = 200_000
+#: Words whose bigrams a worker gathers before it hands their counts on.
+HELD_WORDS = 1 << 21
 _WORD = re.compile(r"\w+")
 
 
@@ -93,43 +99,81 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] * differences + self.weights[1], -30, 30)))
 
 
-def _fit(docs: list[np.ndarray], y: np.ndarray) -> Model:
-    pairs, firsts, kinds, each = np.zeros((2, PAIR_SLOTS)), np.zeros((2, WORD_SLOTS)), np.zeros((2, WORD_SLOTS)), []
-    for c in (0, 1):
-        own = [s for s, label in zip(docs, y, strict=True) if label == c]
-        word = np.concatenate(own)
-        last = np.concatenate([[0], word[:-1]])
-        last[np.cumsum([0, *(len(s) for s in own[:-1])])] = 0  # the first word of a text follows slot 0
-        pairs[c] = np.bincount(_pair(last, word), minlength=PAIR_SLOTS)
-        firsts[c] = np.bincount(last, minlength=WORD_SLOTS)
-        each.append(np.unique(last * WORD_SLOTS + word))
-        kinds[c] = np.bincount(each[c] % WORD_SLOTS, minlength=WORD_SLOTS)
-    either, both = np.unique(np.concatenate(each)), firsts.sum(0)
-    follows = np.bincount(either // WORD_SLOTS, minlength=WORD_SLOTS)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, part) to (part, before, word, n): the bigrams of whole texts, summed over HELD_WORDS words or so."""
+    cache, held, size = {}, [], 0
+
+    def summed() -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        columns = {"part": key >> 36, "before": key >> 18 & (WORD_SLOTS - 1), "word": key & (WORD_SLOTS - 1), "n": n}
+        return pa.RecordBatch.from_pydict({k: pa.array(v.astype("int64" if k == "n" else "int32")) for k, v in columns.items()})
+
+    for batch in batches:
+        for text, part in zip(batch.column(0), batch.column(1), strict=True):
+            slots = _slots(text.as_py(), cache).astype(np.int64)
+            if len(slots):
+                held.append(part.as_py() << 36 | np.concatenate([[0], slots[:-1]]) << 18 | slots)
+                size += len(slots)
+            if size > HELD_WORDS:
+                yield summed()
+                held, size = [], 0
+    if held:
+        yield summed()
+    held.clear()
+    cache.clear()
+    common.release()
+
+
+def bigrams(texts: DataFrame) -> DataFrame:
+    """(before, word, n0, n1, n2, n3) for each bigram in texts (text, part): its counts in the parts 0 to 3."""
+    counts = texts.select("text", F.col("part").cast("int")).mapInArrow(_counted, "part int, before int, word int, n long")
+    each = [F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)]
+    return counts.groupBy("before", "word").agg(*each)
+
+
+def _half(text: Column) -> Column:
+    return F.crc32(text.cast("binary")) % 2
+
+
+def _in_class(c: int, halves: Sequence[int]) -> Column:
+    """The count of a bigram in a class over some halves of the texts; a text of half h and class c is in part 2 h + c."""
+    return sum((F.col(f"n{2 * h + c}") for h in halves), F.lit(0))
+
+
+def _by_slot(table: DataFrame, slot: Column, size: int, sums: list[Column]) -> list[np.ndarray]:
+    """The sums as arrays by slot; at most size rows go to the driver."""
+    rows = table.groupBy(slot.alias("slot")).agg(*[x.cast("float").alias(f"s{i}") for i, x in enumerate(sums)]).toArrow()
+    at, out = rows["slot"].to_numpy(), []
+    for i in range(len(sums)):
+        out.append(np.zeros(size))
+        out[i][at] = rows[f"s{i}"].to_numpy()
+    return out
+
+
+def fit(table: DataFrame, fits: Sequence[Sequence[int]] = ((0, 1),)) -> list[Model | None]:
+    """A model, yet to be calibrated, of each choice of halves of bigrams(); None where a class has no words."""
+    mixed = (F.col("before").cast("long") * 0x9E3779B1).bitwiseXOR(F.col("word").cast("long") * 0x85EBCA6B)
+    slot = F.shiftright(mixed, 7).bitwiseAND(PAIR_SLOTS - 1)
+    n = [[_in_class(c, halves) for c in (0, 1)] for halves in fits]
+    sums = [F.sum(x) for both in n for x in both]
+    pairs = _by_slot(table, slot, PAIR_SLOTS, sums)
+    firsts = _by_slot(table, F.col("before"), WORD_SLOTS, sums + [F.count_if(a + b > 0) for a, b in n])
+    kinds = _by_slot(table, F.col("word"), WORD_SLOTS, [F.count_if(x > 0) for both in n for x in both])
+    follows = firsts[2 * len(n) :]
+    return [_model(*(np.array(x[2 * i : 2 * i + 2]) for x in (pairs, firsts, kinds)), follows[i]) for i in range(len(n))]
+
+
+def _model(pairs: np.ndarray, firsts: np.ndarray, kinds: np.ndarray, follows: np.ndarray) -> Model | None:
+    """From counts by class: of bigrams, of words before, of words before a word; and of words after a word in either class."""
+    if not kinds.sum(1).all():
+        return None
+    both = firsts.sum(0)
     backoff = np.where(both > 0, np.minimum(DISCOUNT * follows / np.maximum(both, 1), 1), 1)
     shared = (kinds.sum(0) + 0.5) / (kinds.sum() + 0.5 * WORD_SLOTS)
     marginal = (kinds + STRENGTH) / (kinds.sum(1, keepdims=True) * shared + STRENGTH)
     return Model(*(x.astype(np.float32) for x in (marginal, pairs, firsts, shared, backoff)), np.zeros(2))
 
 
-def train(rows: list[tuple[str, int]]) -> Model | None:
-    """From (text, label); None without rows of both classes."""
-    rows = list(dict.fromkeys(rows))  # copies of a text would count its words again and again
-    rows = [(s, label) for t, label in rows if len(s := _slots(t, {}))]
-    docs, y = [s for s, _ in rows], np.array([label for _, label in rows], int)
-    half = np.arange(len(y)) % 2
-    if any(len(set(y[half == h])) < 2 for h in (0, 1)):
-        return None
-    # The calibration sees differences of documents that its models have not learned from.
-    diff = np.zeros(len(y))
-    for h in (0, 1):
-        m = _fit([s for s, x in zip(docs, half, strict=True) if x != h], y[half != h])
-        diff[half == h] = [m.difference(s) for s, x in zip(docs, half, strict=True) if x == h]
-    model = _fit(docs, y)
-    model.weights = _calibrated(diff, y)
-    return model
-
-
 def _calibrated(diff: np.ndarray, y: np.ndarray) -> np.ndarray:
     """A slope and bias that put 0.5 midway between the classes, as parted by the cut with the fewest errors.
 
@@ -165,7 +209,23 @@ def score(df: DataFrame, model: Model | None, text: str = "text", name: str = "s
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_per_class: int = training.MAX_PER_CLASS) -> Model | None:
-    model = train(training.labelled(docs, labels, "toxic", max_per_class))
+    """None unless both halves of the labelled texts have words of both classes."""
+    texts = docs.select("doc_id", "text").join(training.agreed(labels, "toxic").select("doc_id", F.col("y").alias("__y")), "doc_id")
+    texts = texts.where("text is not null").select("text", "__y").distinct()  # copies would count their words again and again
+    table, path = common.materialise(bigrams(texts.select("text", (_half(F.col("text")) * 2 + F.col("__y")).alias("part"))))
+    model, *halves = fit(table, ((0, 1), (0,), (1,)))
+    common.discard(docs.sparkSession, path)
+    if model is None or None in halves:
+        return None
+    diff, y = [], []
+    for t, label in dict.fromkeys(training.labelled(docs, labels, "toxic", max_per_class)):
+        slots = _slots(t, {})
+        if len(slots):  # judged by a model that has not learned from it
+            diff.append(halves[1 - zlib.crc32(t.encode()) % 2].difference(slots))
+            y.append(label)
+    if len(set(y)) < 2:
+        return None
+    model.weights = _calibrated(np.array(diff), np.array(y))
     common.release()
     return model
 

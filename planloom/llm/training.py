@@ -32,7 +32,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, max_per_class: int
     document whose label rows disagree is left out; of rows that repeat an id the smallest text counts, picked before
     anything goes to the driver. Ordered by id, whole texts, up to MAX_BYTES of them.
     """
-    one = _agreed(labels, label)
+    one = agreed(labels, label)
     picked = []
     for c in (0, 1):
         rows = one.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class).collect()
@@ -46,7 +46,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, max_per_class: int
     return [(r["text"], by_id[r["doc_id"]]) for r in texts.orderBy("doc_id").select("doc_id", "text").collect()]
 
 
-def _agreed(labels: DataFrame, label: str) -> DataFrame:
+def agreed(labels: DataFrame, label: str) -> DataFrame:
     """(doc_id, y, y2) of the documents outside the held-out fold whose label rows agree."""
     y = F.col(label)
     one = labels.where(y.isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -55,7 +55,7 @@ def _agreed(labels: DataFrame, label: str) -> DataFrame:
 
 def rate(labels: DataFrame, label: str) -> float:
     """The share of label 1 among the documents outside the held-out fold, counted over all labels; 0.5 without any."""
-    return _agreed(labels, label).agg(F.avg("y")).first()[0] or 0.5
+    return agreed(labels, label).agg(F.avg("y")).first()[0] or 0.5
 
 
 def logistic(x, y, steps: int = 50, ridge: float = 1e-3):

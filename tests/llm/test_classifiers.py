@@ -100,10 +100,18 @@ def brute_toxicity(docs, y, text):
     return out / (len(words) + T.PRIOR_WORDS)
 
 
-def test_toxicity_against_brute_force():
+def fitted(spark, texts, y):
+    """The model of all texts, dealt over both halves and several partitions."""
+    rows = [(t, i % 2 * 2 + label) for i, (t, label) in enumerate(zip(texts, y, strict=True))]
+    (model,) = T.fit(T.bigrams(spark.createDataFrame(rows, "text string, part int").repartition(3)))
+    return model
+
+
+def test_toxicity_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(T, "HELD_WORDS", 1000)
     docs, labels = labelled(120)
     texts, y = [t for _, t, *_ in docs], [x[2] for x in labels]
-    model = T._fit([T._slots(t, {}) for t in texts], __import__("numpy").array(y))
+    model = fitted(spark, texts, y)
     for t in [*texts[::10], "never seen words", INSULTS[0], " ".join(INSULTS) + " " + texts[3]]:
         assert abs(model.difference(T._slots(t, {})) - brute_toxicity(texts, y, t)) < 1e-4
 
@@ -186,14 +194,31 @@ def test_without_labels(spark, tables):
     assert C.score(documents(spark, []), C.learn(docs, labels)).collect() == []
 
 
-def test_kneser_ney_by_hand():
+def test_toxicity_counts_all_labelled_texts_once(spark):
+    """Beyond the sample's bound too, but no text twice and none of the held-out fold."""
+    docs, labels = labelled(300)
+    d, y = documents(spark, docs + docs[:50]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model, kept = T.learn(d, y, max_per_class=30), {(t, x[2]) for (i, t, *_), x in zip(docs, labels, strict=True) if training.fold(i)}
+    assert model.pairs.sum() == model.firsts.sum() == sum(len(T._WORD.findall(t.lower())) for t, _ in kept)
+
+
+def test_toxicity_halves(spark):
+    """A model of one half knows nothing of the other."""
+    rows = [("a b c", 0), ("a d", 1), ("a b e", 2), ("f g h", 3), ("f g", 3)]
+    table = T.bigrams(spark.createDataFrame(rows, "text string, part int"))
+    both, first, second = T.fit(table, ((0, 1), (0,), (1,)))
+    f, g = T._slots("f g", {})
+    assert first.firsts[:, f].tolist() == [0, 0] and second.firsts[:, f].tolist() == [0, 2] == both.firsts[:, f].tolist()
+    assert (first.pairs + second.pairs == both.pairs).all() and second.marginal[1, g] > second.marginal[0, g]
+    assert T.fit(table.where("false"))[0] is None
+
+
+def test_kneser_ney_by_hand(spark):
     """Continuation counts: a word counts by how many words it follows, not by how often it stands there."""
     import numpy as np
 
-    cache = {}
-    docs = [T._slots(t, cache) for t in ("x y x y x y z y", "a y a b", "x q", "q q")]
-    m = T._fit(docs, np.array([1, 1, 0, 0]))
-    y = T._slots("y", cache)[0]
+    m = fitted(spark, ("x y x y x y z y", "a y a b", "x q", "q q"), (1, 1, 0, 0))
+    y = T._slots("y", {})[0]
     kinds = 3  # x y, z y, a y in class 1; none in class 0
     n1, n0 = 8, 3  # distinct bigrams of the classes: (0 x) (x y) (y x) (y z) (z y) (0 a) (a y) (y a) (a b); (0 x) (x q) (0 q) (q q)
     n1, n0 = 9, 4
