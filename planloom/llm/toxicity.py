@@ -48,6 +48,8 @@ PRIOR_WORDS = 20
 CACHE_WORDS = 200_000
 #: Words whose bigrams a worker gathers before it hands their counts on.
 HELD_WORDS = 1 << 21
+#: Labelled texts of which 36 bytes each are broadcast rather than joined by a shuffle of the texts.
+BROADCAST_ROWS = 500_000
 _WORD = re.compile(r"\w+")
 
 
@@ -131,10 +133,6 @@ def bigrams(texts: DataFrame) -> DataFrame:
     return counts.groupBy("before", "word").agg(*each)
 
 
-def _half(text: Column) -> Column:
-    return F.crc32(text.cast("binary")) % 2
-
-
 def _in_class(c: int, halves: Sequence[int]) -> Column:
     """The count of a bigram in a class over some halves of the texts; a text of half h and class c is in part 2 h + c."""
     return sum((F.col(f"n{2 * h + c}") for h in halves), F.lit(0))
@@ -208,11 +206,31 @@ def score(df: DataFrame, model: Model | None, text: str = "text", name: str = "s
     return df.withColumn(name, F.pandas_udf(scores, "double")(F.col(text)))
 
 
+def _labelled_texts(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, str]:
+    """(text, part) of all labelled documents, each text once for each class, and the path of a table that it reads.
+
+    Which document stands for a text is settled on hashes, so that texts are not shuffled for it. The labelled ids are
+    broadcast up to BROADCAST_ROWS of them; beyond, they are joined by a shuffle.
+    """
+    docs = docs.select("doc_id", "text").where("text is not null")
+    docs = docs.select("*", F.xxhash64("text").alias("h"), F.crc32(F.col("text").cast("binary")).alias("crc"))
+    thin = docs.select("doc_id", "h", "crc").join(training.agreed(labels, "toxic").select("doc_id", "y"), "doc_id")
+    thin = thin.groupBy("doc_id", "h", "crc", "y").agg(F.count("*").alias("rows"))
+    one = thin.groupBy("h", "crc", "y").agg(F.min(F.struct("doc_id", "rows")).alias("one"))
+    one = one.select("one.doc_id", "h", "crc", (F.col("crc") % 2 * 2 + F.col("y")).alias("part"), "one.rows")
+    chosen, path = common.materialise(one)
+    joined = docs.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen, ["doc_id", "h", "crc"])
+    if chosen.where("rows > 1").isEmpty():
+        return joined.select("text", "part"), path
+    again = joined.where("rows > 1").select("text", "part").distinct()
+    return joined.where("rows = 1").select("text", "part").union(again), path
+
+
 def learn(docs: DataFrame, labels: DataFrame, max_per_class: int = training.MAX_PER_CLASS) -> Model | None:
     """None unless both halves of the labelled texts have words of both classes."""
-    texts = docs.select("doc_id", "text").join(training.agreed(labels, "toxic").select("doc_id", F.col("y").alias("__y")), "doc_id")
-    texts = texts.where("text is not null").select("text", "__y").distinct()  # copies would count their words again and again
-    table, path = common.materialise(bigrams(texts.select("text", (_half(F.col("text")) * 2 + F.col("__y")).alias("part"))))
+    texts, chosen_path = _labelled_texts(docs, labels)
+    table, path = common.materialise(bigrams(texts))
+    common.discard(docs.sparkSession, chosen_path)
     model, *halves = fit(table, ((0, 1), (0,), (1,)))
     common.discard(docs.sparkSession, path)
     if model is None or None in halves:

@@ -194,8 +194,10 @@ def test_without_labels(spark, tables):
     assert C.score(documents(spark, []), C.learn(docs, labels)).collect() == []
 
 
-def test_toxicity_counts_all_labelled_texts_once(spark):
-    """Beyond the sample's bound too, but no text twice and none of the held-out fold."""
+@pytest.mark.parametrize("rows", [0, 500_000])
+def test_toxicity_counts_all_labelled_texts_once(spark, monkeypatch, rows):
+    """Beyond the sample's bound too, but no text twice and none of the held-out fold, by either join."""
+    monkeypatch.setattr(T, "BROADCAST_ROWS", rows)
     docs, labels = labelled(300)
     d, y = documents(spark, docs + docs[:50]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model, kept = T.learn(d, y, max_per_class=30), {(t, x[2]) for (i, t, *_), x in zip(docs, labels, strict=True) if training.fold(i)}
