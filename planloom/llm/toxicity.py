@@ -206,8 +206,8 @@ def score(df: DataFrame, model: Model | None, text: str = "text", name: str = "s
     return df.withColumn(name, F.pandas_udf(scores, "double")(F.col(text)))
 
 
-def _labelled_texts(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, str]:
-    """(text, part) of all labelled documents, each text once for each class, and the path of a table that it reads.
+def _labelled_texts(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(text, part) of all labelled documents, each text once for each class, and the paths of the tables that it reads.
 
     Which document stands for a text is settled on hashes, so that texts are not shuffled for it. The labelled ids are
     broadcast up to BROADCAST_ROWS of them; beyond, they are joined by a shuffle.
@@ -219,18 +219,23 @@ def _labelled_texts(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, str]
     one = thin.groupBy("h", "crc", "y").agg(F.min(F.struct("doc_id", "rows")).alias("one"))
     one = one.select("one.doc_id", "h", "crc", (F.col("crc") % 2 * 2 + F.col("y")).alias("part"), "one.rows")
     chosen, path = common.materialise(one)
-    joined = docs.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen, ["doc_id", "h", "crc"])
+    paths = [path]
+    if chosen.count() <= BROADCAST_ROWS:
+        joined = docs.join(F.broadcast(chosen), ["doc_id", "h", "crc"])
+    else:  # written, so that the shuffle of the texts goes before that of their bigrams comes
+        joined, more = common.materialise(docs.join(chosen, ["doc_id", "h", "crc"]).select("text", "part", "rows"))
+        paths.append(more)
     if chosen.where("rows > 1").isEmpty():
-        return joined.select("text", "part"), path
+        return joined.select("text", "part"), paths
     again = joined.where("rows > 1").select("text", "part").distinct()
-    return joined.where("rows = 1").select("text", "part").union(again), path
+    return joined.where("rows = 1").select("text", "part").union(again), paths
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_per_class: int = training.MAX_PER_CLASS) -> Model | None:
     """None unless both halves of the labelled texts have words of both classes."""
-    texts, chosen_path = _labelled_texts(docs, labels)
+    texts, paths = _labelled_texts(docs, labels)
     table, path = common.materialise(bigrams(texts))
-    common.discard(docs.sparkSession, chosen_path)
+    common.discard(docs.sparkSession, *paths)
     model, *halves = fit(table, ((0, 1), (0,), (1,)))
     common.discard(docs.sparkSession, path)
     if model is None or None in halves:
