@@ -46,6 +46,7 @@ class AggregateFunction:
     """native: a Spark aggregate expression; otherwise a grouped-aggregate pandas UDF, which native ones cannot stand beside.
 
     partial: a reducer whose states merge, so that each batch of rows is reduced before the shuffle (see reduced()).
+    doubles: what is built instead of `build` for an argument of type double.
     """
 
     name: str
@@ -53,6 +54,11 @@ class AggregateFunction:
     build: Callable[..., Column]
     native: bool = True
     partial: Reducer | None = None
+    doubles: Callable[..., Column] | None = None
+
+    def over(self, df: DataFrame, args: list[Column]) -> Column:
+        of_doubles = self.doubles and df.select(*args).dtypes[0][1] == "double"
+        return (self.doubles if of_doubles else self.build)(*args)
 
 
 @dataclass(frozen=True)
@@ -123,6 +129,30 @@ def reduced(df: DataFrame, keys: list[str], aggs: list[tuple[str, AggregateFunct
     return one.select(*keys, *[value(i).alias(name) for i, (name, _, _) in enumerate(aggs)])
 
 
+_LIMB = 28
+
+
+def _exact_sum(x: Column) -> Column:
+    """The sum of doubles without rounding on the way, so that neither the order nor the splits of the rows show in it.
+
+    Each value is cut into whole numbers of 28 bits, from 2 ** 53 down to 2 ** -84, whose sums are exact. Where a value
+    of the group is 2 ** 53 or more, below 2 ** -32 (but not zero) or not finite, it is Spark's sum.
+    """
+    limbs, rest = [], F.when(F.abs(x) < 2.0**53, x) * 2.0**-_LIMB
+    for _ in range(5):
+        limbs.append(F.sum(rest.cast("long")))
+        rest = (rest - rest.cast("long")) * 2.0**_LIMB
+    carry, value = F.lit(0), F.lit(0.0)
+    for limb in limbs[:0:-1]:  # carried so that equal sums have equal limbs
+        total = limb + carry
+        carry = F.shiftright(total + (1 << _LIMB - 1), _LIMB)
+        value = value * 2.0**-_LIMB + (total - F.shiftleft(carry, _LIMB))
+    # value counts in units of the second limb, which holds whole numbers
+    exact = (limbs[0] + carry) * 2.0**_LIMB + value
+    held = (F.max(F.abs(x)) < 2.0**53) & (F.coalesce(F.min(F.when(x != 0, F.abs(x))), F.lit(1.0)) >= 2.0**-32)
+    return F.when(held, exact).otherwise(F.sum(x))
+
+
 def _spread(x: Column) -> Column:
     return F.stddev_pop(x)
 
@@ -131,8 +161,8 @@ BUILT_IN = (
     ScalarFunction("lower", 1, lambda s: F.lower(s.cast("string")), "str"),
     ScalarFunction("upper", 1, lambda s: F.upper(s.cast("string")), "str"),
     AggregateFunction("count", 1, lambda x: F.count(F.lit(1))),
-    AggregateFunction("sum", 1, F.sum),
-    AggregateFunction("avg", 1, F.avg),
+    AggregateFunction("sum", 1, F.sum, doubles=_exact_sum),
+    AggregateFunction("avg", 1, F.avg, doubles=lambda x: _exact_sum(x) / F.count(x)),
     AggregateFunction("std", 1, _spread),
     AggregateFunction("stdev", 1, _spread),
 )

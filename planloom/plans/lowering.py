@@ -204,7 +204,7 @@ class Lowering:
         order = self.fresh("order")
         df = df.select("*", *[c.alias(k) for k, (c, _) in keys.items()], *([F.monotonically_increasing_id().alias(order)] if loose else []))
         tagged = df
-        native = [f.build(*args).alias(name) for name, f, args in aggs.values() if f.native]
+        native = [f.over(df, args).alias(name) for name, f, args in aggs.values() if f.native]
         if loose:
             last = F.max_by(F.struct(*[F.col(f.column).alias(k) for k, f in loose.items()]), order)
             native.append(last.alias("__last"))

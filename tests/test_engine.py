@@ -213,6 +213,28 @@ def test_merging_reducers(engine):
     assert plan.index("Exchange") < plan.index("MapInArrow")  # printed from the top: reduced below the shuffle
 
 
+def test_sums_of_doubles_know_no_order(spark):
+    """Groups of the same values in another order and split tie, so the next sort key decides; each sum is rounded once."""
+    import math
+    import random
+
+    from planloom.engine import Engine
+
+    r, rows = random.Random(3), []
+    values = [[round(r.uniform(-1e5, 1e5), 2) for _ in range(12)], [r.uniform(-1, 1) for _ in range(12)], [1e300, 1.0], [1e-300], [0.0, -0.01]]
+    for k in range(40):
+        rows += [(k, x) for x in r.sample(values[0], 12)]
+    rows += [(100 + k, x) for k, some in enumerate(values) for x in some] + [(200, None), (201, float("inf")), (201, 2.0)]
+    r.shuffle(rows)
+    e = Engine(spark)
+    e.catalog.register("prices", spark.createDataFrame(rows, "k long, x double").repartition(5))
+    got = {k: (s, a) for k, s, a in e.df("SELECT k, sum(x) AS s, avg(x) AS a FROM prices GROUP BY k").collect()}
+    for k, some in enumerate(values):
+        assert got[100 + k] == (math.fsum(some), math.fsum(some) / len(some)), k
+    assert {got[k] for k in range(40)} == {got[100]} and got[200] == (None, None) and got[201][0] == float("inf")
+    assert [k for (k,) in e.df("SELECT k FROM prices WHERE k < 40 GROUP BY k ORDER BY sum(x) desc, k").collect()] == list(range(40))
+
+
 def test_pruning_and_pushdown(spark, tmp_path):
     from planloom.engine import Engine
 
