@@ -237,3 +237,25 @@ def test_ties_keep_their_own_rows():
     assert (at < 0).sum() == D.SPARE and set(to[at >= 0].tolist()) == {0} and (key[at < 0] == 9).all()
     key, *_, at = D._combined(np.full(3, 9), np.full(3, 7 << 32), np.arange(3), np.full(3, 1 << 32))
     assert (at >= 0).sum() == 2
+
+
+def test_further_chains_of_many_runs():
+    """Two stretches in another order, of 135 and 145 equal runs with words inserted between them, are both whole."""
+    r = np.random.default_rng(4)
+
+    def stretch(blocks):
+        x = r.integers(0, 1 << 62, 40 * blocks).astype(np.uint64)
+        return x, np.concatenate([z for k in range(blocks) for z in (x[40 * k : 40 * k + 40], r.integers(0, 1 << 62, 4).astype(np.uint64))][:-1])
+
+    (a, a2), (b, b2) = stretch(145), stretch(135)
+    shifts = [len(a) - 4 * k for k in range(135)] + [-len(b2) - 4 * k for k in range(145)]
+    got = D.similar_passages(np.concatenate([a, b]), np.concatenate([b2, a2]), shifts, 46, 0.8)
+    assert {(0, len(a), len(b2), len(b2) + len(a2)), (len(a), len(a) + len(b), 0, len(b2))} <= set(got)
+
+
+def test_shifts_of_words_that_repeat():
+    """Shingles that stand in a text over REPEATS times show where the texts go on, too."""
+    n = D.REPEATS + 10
+    x, y = np.arange(3, dtype=np.uint64), np.concatenate([np.arange(50, 60, dtype=np.uint64), np.tile(np.arange(3, dtype=np.uint64), n)])
+    assert D._further(x, y, np.zeros((0, 3), np.int64)) == [-10 - 3 * k for k in range(n - 1, -1, -1)]
+    assert D._further(np.tile(x, 20), y, np.zeros((0, 3), np.int64)) == [d for d in range(-10 - 3 * (n - 1), 58 - 10, 3) if d <= 47]
