@@ -259,3 +259,38 @@ def test_shifts_of_words_that_repeat():
     x, y = np.arange(3, dtype=np.uint64), np.concatenate([np.arange(50, 60, dtype=np.uint64), np.tile(np.arange(3, dtype=np.uint64), n)])
     assert D._further(x, y, np.zeros((0, 3), np.int64)) == [-10 - 3 * k for k in range(n - 1, -1, -1)]
     assert D._further(np.tile(x, 20), y, np.zeros((0, 3), np.int64)) == [d for d in range(-10 - 3 * (n - 1), 58 - 10, 3) if d <= 47]
+
+
+def test_every_set_of_marks_has_its_first_row(monkeypatch):
+    """A row is linked to each earlier one that shares a mark, but where a still earlier one shares all of that."""
+    r = np.random.default_rng(2)
+    marks = r.integers(0, 4, (150, 2 * D.BINS))  # 0: no mark
+    near = np.stack([sum(marks[:, 3 * k + j] << bit for j, bit in enumerate((42, 21, 0))) for k in range(len(D._NEAR))], 1)
+    expected = set()
+    for i, x in enumerate(marks):
+        seen = []
+        for k, y in enumerate(marks[:i]):
+            common = frozenset(np.flatnonzero((x == y) & (x > 0)).tolist())
+            if common and not any(common <= s for s in seen):
+                expected.add((i, k))
+            seen.append(common)
+    for wide in (D.WIDE, 10):
+        monkeypatch.setattr(D, "WIDE", wide)
+        got = [z for i, k in D._firsts(near) for z in zip(i.tolist(), k.tolist(), strict=True)]
+        assert set(got) == expected, wide
+    got = [z for i, k in D._partners(np.full(150, 7), near, np.arange(150)) for z in zip(i.tolist(), k.tolist(), strict=True)]
+    assert set(got) == expected
+    few = D.CROWD + 1  # and all pairs of a smaller group
+    got = [z for i, k in D._partners(np.full(few, 7), near[:few], np.arange(few)) for z in zip(i.tolist(), k.tolist(), strict=True)]
+    assert set(got) == {(i, k) for i in range(few) for k in range(i) if ((marks[i] == marks[k]) & (marks[i] > 0)).any()}
+
+
+@pytest.mark.parametrize("changes", [(1, 2), (2, 5)])
+def test_crowd_is_whole(spark, changes):
+    """All words that near-duplicate an earlier document's, by brute force over all pairs."""
+    rows, spans = crowd(60, changes), {}
+    for x in D.passages(documents(spark, rows)).collect():
+        spans.setdefault(x["b"], set()).update(range(x["b_start"], x["b_end"]))
+    words = [t.split() for _, t, *_ in rows]
+    for b in range(1, 60):
+        assert set().union(*(brute_pair(words[a], words[b]) for a in range(b))) <= spans.get(b, set()), b
