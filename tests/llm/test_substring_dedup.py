@@ -294,3 +294,33 @@ def test_crowd_is_whole(spark, changes):
     words = [t.split() for _, t, *_ in rows]
     for b in range(1, 60):
         assert set().union(*(brute_pair(words[a], words[b]) for a in range(b))) <= spans.get(b, set()), b
+
+
+def periodic(periods, common, own, seed):
+    """Texts that repeat `common` words and then, each anew, `own` words that it never has again."""
+    r = np.random.default_rng(seed)
+    return np.concatenate([np.concatenate([np.arange(common, dtype=np.uint64), r.integers(1 << 40, 1 << 62, own).astype(np.uint64)]) for _ in range(periods)])
+
+
+def test_hopeless_pairs_are_not_chained(monkeypatch):
+    """Of texts with 18 equal places in every 30 at hundreds of shifts, none is a passage: no chain is looked for."""
+    chains, chain = [], D._chain
+    monkeypatch.setattr(D, "_chain", lambda runs: chains.append(len(runs)) or chain(runs))
+    assert D.similar_passages(periodic(40, 18, 12, 1), periodic(40, 18, 12, 2), [0, 30], 46, 0.8) == [] and not chains
+    x, y = periodic(40, 18, 12, 1), periodic(40, 18, 12, 2)
+    x[600:700] = y[300:400] = np.arange(1000, 1100)  # but the passage in them is found
+    assert any(s <= 600 and 700 <= e and t <= 300 and 400 <= u for s, e, t, u in D.similar_passages(x, y, [0, 300], 46, 0.8)) and chains
+
+
+def test_places_that_may_be_in_a_passage():
+    """By brute force: all stretches of 46 or more places of which 0.8 are equal."""
+    r = np.random.default_rng(5)
+    for share in (0.5, 0.75, 0.8, 0.85):
+        for _ in range(20):
+            equal = np.repeat(r.random(30) < share, r.integers(1, 9, 30))
+            total, expected = np.concatenate([[0], np.cumsum(equal)]), np.zeros(len(equal), bool)
+            for s in range(len(equal)):
+                for e in range(s + 46, len(equal) + 1):
+                    if total[e] - total[s] >= 0.8 * (e - s) - 1e-9:
+                        expected[s:e] = True
+            assert D._dense(equal, 46, 0.8).tolist() == expected.tolist()
