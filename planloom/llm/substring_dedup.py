@@ -714,10 +714,10 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", hashes:
     down = lambda c: F.greatest(F.floor(F.col(c) / STEP) * STEP, F.lit(0))
     up = lambda c: (F.floor(F.col(c) / STEP) + 1) * STEP
     links = links.withColumns({"a_lo": down("a_lo"), "a_hi": up("a_hi"), "b_lo": down("b_lo"), "b_hi": up("b_hi")})
-    links, links_path = common.materialise(links)
+    links, links_path = common.materialise(links, WINDOW_BYTES)
     side = lambda x: links.select(F.col(x).alias("doc"), F.col(f"{x}_lo").alias("lo"), F.col(f"{x}_hi").alias("hi"), F.lit(x == "a").alias("a"), F.lit(x == "b").alias("b"))
     spans = side("a").union(side("b")).groupBy("doc", "lo", "hi").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    hashed, hashed_path = common.materialise(_hashed(docs, spans))
+    hashed, hashed_path = common.materialise(_hashed(docs, spans), WINDOW_BYTES)
     of = lambda x: hashed.where(x).select(F.col("doc").alias(x), F.col("lo").alias(f"{x}_lo"), F.col("hi").alias(f"{x}_hi"), F.col("words").alias(f"{x}_words"))
     pairs = links.join(of("b"), ["b", "b_lo", "b_hi"]).join(of("a"), ["a", "a_lo", "a_hi"])
 
@@ -735,7 +735,7 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", hashes:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "a_start", "a_end", "b", "b_start", "b_end"])
 
     needed = pairs.select("a", "b", "shifts", "a_lo", "b_lo", "a_words", "b_words")
-    out, _ = common.materialise(needed.mapInArrow(verified, "a long, a_start long, a_end long, b long, b_start long, b_end long"))
+    out, _ = common.materialise(needed.mapInArrow(verified, "a long, a_start long, a_end long, b long, b_start long, b_end long"), WINDOW_BYTES)
     common.discard(spark, links_path, hashed_path)
     return out
 

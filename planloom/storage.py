@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The paths given out while settled() builds, for each of its calls that is under way.
 _made: list[list[str]] = []
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_CLEANUP, _BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch(spark: SparkSession) -> str:
@@ -33,20 +33,24 @@ def scratch(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def shuffles_let_go(spark: SparkSession) -> Iterator[None]:
-    """Queries that run inside delete their shuffle files when they end: what they wrote replaces them."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session's setting for the queries that run inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def materialise(df: DataFrame) -> tuple[DataFrame, str]:
-    """Write df to the shared folder and read it back: the lineage is cut and a lost executor loses nothing."""
+def materialise(df: DataFrame, batch_bytes: int | None = None) -> tuple[DataFrame, str]:
+    """Write df to the shared folder and read it back: the lineage is cut and a lost executor loses nothing.
+
+    Its shuffle files are deleted when it is written: what was written replaces them. batch_bytes: what Python workers
+    get at once at most; an executor's memory holds their batches beside the heap.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession)
-    with shuffles_let_go(spark):
+    with setting(spark, _CLEANUP, "true"), setting(spark, _BATCH, str(batch_bytes)) if batch_bytes else contextlib.nullcontext():
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpus import awkward, documents, prose
 
+from planloom import storage
 from planloom.llm import substring_dedup as D
 
 
@@ -324,3 +326,20 @@ def test_places_that_may_be_in_a_passage():
                     if total[e] - total[s] >= 0.8 * (e - s) - 1e-9:
                         expected[s:e] = True
             assert D._dense(equal, 46, 0.8).tolist() == expected.tolist()
+
+
+def test_small_batches(spark):
+    """A table is written with Python workers' batches of the size given, and the session's own setting stays."""
+    seen = "n long, bytes long"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    docs = documents(spark, [(i, "word " * 2000, "en", "s", 1) for i in range(400)]).select("text").coalesce(1)
+    before = spark.conf.get(storage._BATCH, None)
+    out, path = storage.materialise(docs.mapInArrow(sizes, seen), 1 << 18)
+    rows = out.collect()
+    storage.discard(spark, path)
+    assert sum(x["n"] for x in rows) == 400 and max(x["bytes"] for x in rows) < 1 << 19
+    assert spark.conf.get(storage._BATCH, None) == before
