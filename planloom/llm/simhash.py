@@ -16,9 +16,10 @@ comparison once it is reached, so nothing emits all pairs of a group. Keys with
 chunks each, every two chunks meeting in one cell. The links' components come from graph.components(); copies follow
 their class.
 
-Similarity: similar() links classes by the Jaccard similarity of their texts' shingles. Fingerprints only propose the
-pairs, and each is verified on the sets themselves. Of crowded keys it verifies two spanning forests, one of links that
-are as good as sure (a third of max_bits) and one of all.
+Similarity: similar() links classes by the Jaccard similarity of their texts' shingles. Fingerprints propose: what their
+links connect is a block, whose classes meet in one task, each with its set of shingles once, however many links it has. There
+every two within max_bits are compared on the sets themselves, but for those that links connect already, and a spanning
+forest of the verified links is emitted. Blocks of over BLOCK classes or BLOCK_BYTES are dealt out to cells like keys.
 
 Defined cases: a null text has no words; a text without words has fingerprint zero, linked like any other; a document
 with fewer words than a shingle is one shingle; a row with a null id links nothing and has a component only if its
@@ -46,6 +47,10 @@ RUN = 20_000
 PAIRS = 1 << 19
 #: Links for each class of a key above which a spanning forest replaces them.
 MANY = 16
+#: Classes, and bytes of their shingle sets, of a block's chunk; a task compares two chunks.
+BLOCK, BLOCK_BYTES = 2000, 4 << 20
+#: Bytes of shingle sets that a Python worker gets at once, for the executor's memory.
+BATCH_BYTES = 4 << 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -157,13 +162,28 @@ def _hot_keys(classes: DataFrame, lanes: int, segments: int, run: int) -> DataFr
     return each.groupBy(key.alias("key")).agg((F.ceil(F.sum("count") / run) + 1).cast("int").alias("chunks"))
 
 
-def _linked(keys: DataFrame, max_bits: int, lanes: int, segments: int, sure_bits: int | None) -> DataFrame:
+def _differ(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(-1, dtype=np.int64)
+
+
+def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the links u, v connect, each node linked to the smallest."""
+    nodes, code = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, least = code[: len(u)], code[len(u) :], np.arange(len(nodes))
+    while (least[a] != least[b]).any():
+        low = np.minimum(least[a], least[b])
+        np.minimum.at(least, least[a], low)
+        np.minimum.at(least, least[b], low)
+        while (least != least[least]).any():
+            least = least[least]
+    other = least != np.arange(len(nodes))
+    return nodes[other], nodes[least[other]]
+
+
+def _linked(keys: DataFrame, max_bits: int, lanes: int, segments: int, stars: bool) -> DataFrame:
     """The links among rows of equal (key, cell); rows must stand together by them."""
     cuts = _cuts(64 * lanes, segments)
 
-    def differ(x: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(x).sum(-1, dtype=np.int64)
-
     def first(x: np.ndarray) -> np.ndarray:
         """The first segment at which two fingerprints that differ in x meet."""
         out = np.full(len(x), -1, np.int64)
@@ -171,14 +191,14 @@ def _linked(keys: DataFrame, max_bits: int, lanes: int, segments: int, sure_bits
             out = np.where((out < 0) & (np.bitwise_count(_segment(x, low, width)) <= 1), i, out)
         return out
 
-    def spanning(node: np.ndarray, fp: np.ndarray, bits: int) -> tuple[list, list]:
+    def spanning(node: np.ndarray, fp: np.ndarray) -> tuple[list, list]:
         """A spanning forest of the links among many classes; a class once reached is compared no more."""
         left, a, b = np.arange(len(node)), [], []
         while len(left):
             queue, left = [left[0]], left[1:]
             while queue and len(left):
                 i = queue.pop()
-                hit = differ(fp[left] ^ fp[i]) <= bits
+                hit = _differ(fp[left] ^ fp[i]) <= max_bits
                 if hit.any():
                     reached = left[hit]
                     a += [node[i]] * len(reached)
@@ -208,7 +228,7 @@ def _linked(keys: DataFrame, max_bits: int, lanes: int, segments: int, sure_bits
             y = np.arange(len(x)) - np.repeat(np.cumsum(n[at:end]) - n[at:end], n[at:end]) + start[run[x]]
             ok = (x != y) & (~own[y] | (x < y))
             x, y = x[ok], y[ok]
-            ok = differ(fp[x] ^ fp[y]) <= max_bits
+            ok = _differ(fp[x] ^ fp[y]) <= max_bits
             x, y = x[ok], y[ok]
             many = np.bincount(run[x] - run[i[at]], minlength=run[i[end - 1]] - run[i[at]] + 1)
             over = np.flatnonzero(many > MANY * size[run[i[at]] : run[i[end - 1]] + 1]) + run[i[at]]
@@ -219,12 +239,13 @@ def _linked(keys: DataFrame, max_bits: int, lanes: int, segments: int, sure_bits
             at = end
         for r in sorted(crowded):
             part = slice(start[r], start[r] + size[r])
-            for bits in {max_bits, max_bits if sure_bits is None else sure_bits}:
-                a, b = spanning(node[part], fp[part], bits)
-                us.append(np.array(a, np.int64))
-                vs.append(np.array(b, np.int64))
+            a, b = spanning(node[part], fp[part])
+            us.append(np.array(a, np.int64))
+            vs.append(np.array(b, np.int64))
         u = np.concatenate([*us, np.zeros(0, np.int64)])
         v = np.concatenate([*vs, np.zeros(0, np.int64)])
+        if stars:
+            u, v = _stars(u, v)
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,10 +267,16 @@ def _linked(keys: DataFrame, max_bits: int, lanes: int, segments: int, sure_bits
     return keys.mapInArrow(scan, "u long, v long")
 
 
-def links(classes: DataFrame, max_bits: int = 4, lanes: int = 1, segments: int | None = None, run: int = RUN, sure_bits: int | None = None) -> DataFrame:
+def _cells(chunk: Column) -> Column:
+    """Of a row of this chunk of `chunks`, the cells in which every two chunks meet once."""
+    return F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(chunk, j) * F.col("chunks") + F.greatest(chunk, j))
+
+
+def links(classes: DataFrame, max_bits: int = 4, lanes: int = 1, segments: int | None = None, run: int = RUN, stars: bool = False) -> DataFrame:
     """Links (u > v) between classes (node long, fp binary) that connect exactly what the verified links connect.
 
-    sure_bits: crowded keys give a spanning forest of the links up to so many bits besides that of all links.
+    stars: the links of many keys are replaced by links to the smallest class that they connect, which are much the same
+    for all keys of a group, so that they grow with the group's size.
     """
     segments = segments or max_bits // 2 + 1
     classes = classes.repartition(F.xxhash64("fp"))  # few classes become many rows
@@ -258,12 +285,11 @@ def links(classes: DataFrame, max_bits: int = 4, lanes: int = 1, segments: int |
     if hot.isEmpty():
         common.discard(classes.sparkSession, path)
     else:
-        chunk = F.pmod(F.xxhash64("fp"), F.col("chunks"))
-        cells = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(chunk, j) * F.col("chunks") + F.greatest(chunk, j))
+        cells = _cells(F.pmod(F.xxhash64("fp"), F.col("chunks")))
         dealt = keys.drop("cell").join(hot, "key", "left")
         keys = dealt.select("key", "node", "fp", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(cells)).alias("cell"))
     together = keys.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return _linked(together, max_bits, lanes, segments, sure_bits).distinct()
+    return _linked(together, max_bits, lanes, segments, stars).distinct()
 
 
 def _classes(df: DataFrame, doc_id: str, text: str, size: int, lanes: int) -> tuple[tuple[DataFrame, str], tuple[DataFrame, str]]:
@@ -312,6 +338,66 @@ def _sets(df: DataFrame, nodes: DataFrame, doc_id: str, text: str, size: int) ->
     return each.groupBy("node").agg(F.array_sort(F.collect_set("s")).alias("sets"))
 
 
+def _alike(members: DataFrame, similarity: float, max_bits: int, lanes: int) -> DataFrame:
+    """A spanning forest (u > v) of the links among rows (node, fp, sets) of equal (block, cell); rows must stand together by them."""
+
+    def forest(rows: list[pa.RecordBatch]) -> tuple[list, list]:
+        """As in _linked, a class once reached is compared no more."""
+        node = np.concatenate([x["node"].to_numpy() for x in rows])
+        order = np.argsort(node, kind="stable")
+        node, fp = node[order], np.concatenate([_lanes(x["fp"], lanes) for x in rows])[order]
+        sets = [y for x in rows for y in x["sets"].to_pylist()]
+        sets = [np.frombuffer(sets[i][0], np.uint32) if len(sets[i]) == 1 else np.unique(np.frombuffer(b"".join(sets[i]), np.uint32)) for i in order]
+        n = np.array([len(x) for x in sets])
+        start = np.cumsum(n) - n
+        known, code = np.unique(np.concatenate(sets), return_inverse=True)
+        mine, left, a, b = np.zeros(len(known), bool), np.arange(len(node)), [], []
+        while len(left):
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                i = queue.pop()
+                near = left[_differ(fp[left] ^ fp[i]) <= max_bits]
+                near = near[np.minimum(n[near], n[i]) >= similarity * np.maximum(n[near], n[i]) - 1e-9]
+                if not len(near):
+                    continue
+                own = code[start[i] : start[i] + n[i]]
+                ends = np.cumsum(n[near])
+                mine[own] = True
+                shared = np.cumsum(np.append(False, mine[code[np.arange(ends[-1]) + np.repeat(start[near] - ends + n[near], n[near])]]))
+                mine[own] = False
+                both = shared[ends] - shared[ends - n[near]]
+                reached = near[both >= similarity * (n[i] + n[near] - both) - 1e-9]
+                a += [node[i]] * len(reached)
+                b += node[reached].tolist()
+                queue += reached.tolist()
+                left = np.setdiff1d(left, reached, assume_unique=True)
+        return a, b
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(us: list, vs: list) -> pa.RecordBatch:
+            u, v = np.array(us, np.int64), np.array(vs, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+
+        held: list[pa.RecordBatch] = []  # the rows of one cell, a bounded number
+        now = None
+        for batch in batches:
+            us, vs, block, cell = [], [], batch["block"].to_numpy(), batch["cell"].to_numpy()
+            cut = (np.flatnonzero((block[1:] != block[:-1]) | (cell[1:] != cell[:-1])) + 1).tolist()
+            for i, j in zip([0, *cut], [*cut, len(block)], strict=True):
+                if i < j and (block[i], cell[i]) != now:
+                    if held:
+                        a, b = forest(held)
+                        us, vs = us + a, vs + b
+                    held, now = [], (block[i], cell[i])
+                held.append(batch.slice(i, j - i))
+            yield out(us, vs)
+        if held:
+            yield out(*forest(held))
+        common.release()
+
+    return members.mapInArrow(scan, "u long, v long")
+
+
 def similar(
     df: DataFrame,
     similarity: float = 0.8,
@@ -322,6 +408,7 @@ def similar(
     lanes: int = 3,
     segments: int = 12,
     run: int = RUN,
+    block: int = BLOCK,
 ) -> DataFrame:
     """cluster() with verified links: of classes that the fingerprints propose, those whose shingle sets are similar.
 
@@ -330,26 +417,23 @@ def similar(
     """
     spark = df.sparkSession
     (prints, _), (classes, _) = _classes(df, doc_id, text, size, lanes)
-    proposed, path = common.materialise(links(classes.where("node is not null").select("node", "fp"), max_bits, lanes, segments, run, max_bits // 3))
-    nodes = proposed.select(F.col("u").alias("node")).union(proposed.select(F.col("v").alias("node"))).distinct()
-    sets, sets_path = common.materialise(_sets(df, nodes, doc_id, text, size))
-    of = lambda x: sets.select(F.col("node").alias(x), F.col("sets").alias(f"{x}_sets"))
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def known(sets: list[bytes]) -> np.ndarray:
-            return np.frombuffer(sets[0], np.uint32) if len(sets) == 1 else np.unique(np.frombuffer(b"".join(sets), np.uint32))
-
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["u_sets"].to_pylist(), batch["v_sets"].to_pylist(), strict=True):
-                a, b = known(x), known(y)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    found, found_path = common.materialise(proposed.join(of("u"), "u").join(of("v"), "v").mapInArrow(verified, "u long, v long"))
+    classes_of = classes.where("node is not null").select("node", "fp")
+    proposed, path = common.materialise(links(classes_of, max_bits, lanes, segments, run, stars=True))
+    blocks, blocks_path = common.materialise(graph.components(proposed).withColumnRenamed("component", "block"))
+    sets = _sets(df, blocks.select("node"), doc_id, text, size)
+    members, members_path = common.materialise(blocks.join(classes_of, "node").join(sets, "node"))
+    held = F.sum(F.aggregate("sets", F.lit(0).cast("long"), lambda n, x: n + F.length(x)))
+    chunks = F.ceil(F.greatest(F.count(F.lit(1)) / block, held / BLOCK_BYTES)).cast("int")
+    large, large_path = common.materialise(members.groupBy("block").agg(chunks.alias("chunks")).where("chunks > 1"))
+    dealt = members.withColumn("cell", F.lit(0).cast("long"))
+    if not large.isEmpty():
+        cells = _cells(F.pmod(F.xxhash64("node"), F.col("chunks")))
+        each = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(cells)
+        dealt = members.join(large, "block", "left").select("block", "node", "fp", "sets", F.explode(each).alias("cell"))
+    together = dealt.repartition("block", "cell").sortWithinPartitions("block", "cell")
+    found, found_path = common.materialise(_alike(together, similarity, max_bits, lanes).distinct(), BATCH_BYTES)
     out = _components(prints, classes, found)
-    common.discard(spark, path, sets_path, found_path)
+    common.discard(spark, path, blocks_path, members_path, large_path, found_path)
     return out
 
 

@@ -127,6 +127,72 @@ def test_similar_in_crowds(spark):
     assert {x["component_id"] for x in got} == {0} and len(got) == 400
 
 
+def crowd(n, least, most):
+    """Texts of one base of 250 words, in each of which other words are replaced."""
+    r, base = random.Random(3), prose(6, 250, 3000).split()
+    texts = []
+    for i in range(n):
+        words = list(base)
+        for k in r.sample(range(250), r.randrange(least, most)):
+            words[k] = f"n{i}x{k}"
+        texts.append(words)
+    return texts
+
+
+def groups_of(texts):
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    first = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if first[i] != first[j] and len(a & b) >= 0.8 * len(a | b):
+                old, new = max(first[i], first[j]), min(first[i], first[j])
+                first = [new if x == old else x for x in first]
+    return first
+
+
+@pytest.mark.parametrize("block", [2000, 30])
+def test_similar_in_crowds_whose_links_often_fail(spark, block):
+    """Many of a crowd's proposed links are no links, and its groups are still those of brute force, in cells too."""
+    texts = crowd(150, 1, 10)
+    expected = groups_of(texts)
+    got = S.similar(documents(spark, [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]), block=block).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == dict(enumerate(expected))
+    assert 150 > len(set(expected)) > 30
+
+
+def test_a_crowds_links_grow_with_its_size(spark, monkeypatch):
+    """The links that are written and joined are a few for each text, not for each two."""
+    written, write = [], S.common.materialise
+
+    def counted(df, *rest):
+        out = write(df, *rest)
+        written.append(out[0].count() if df.columns == ["u", "v"] else 0)
+        return out
+
+    monkeypatch.setattr(S.common, "materialise", counted)
+    links = {}
+    for n in (150, 600):
+        written.clear()
+        S.similar(documents(spark, [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(crowd(n, 1, 10))]))
+        links[n] = sum(written)
+    assert 0 < links[600] <= 5.5 * links[150] and links[600] <= 20 * 600
+
+
+def test_stars():
+    r = random.Random(8)
+    for n in (1, 5, 60):
+        edges = [(r.randrange(100), r.randrange(100)) for _ in range(n)]
+        edges += [(i, i + 1) for i in range(200, 200 + n)]
+        u, v = S._stars(*S.np.array(edges).T)
+        got = dict(zip(u.tolist(), v.tolist(), strict=True))
+        least = {x: x for e in edges for x in e}
+        for _ in least:
+            for a, b in edges:
+                least[a] = least[b] = min(least[a], least[b])
+        assert got == {x: m for x, m in least.items() if x != m}
+    assert [x.tolist() for x in S._stars(S.np.zeros(0, int), S.np.zeros(0, int))] == [[], []]
+
+
 def test_far_texts_are_left_alone(spark):
     rows = [(2 * i + j, " ".join([*prose(i, 200, 3000).split(), *prose(50 + 2 * i + j, 60, 3000).split()]), "en", "s", 1) for i in range(25) for j in (0, 1)]
     assert all(x["component_id"] == x["doc_id"] for x in S.similar(documents(spark, rows)).collect())
