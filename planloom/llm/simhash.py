@@ -17,7 +17,8 @@ chunks each, every two chunks meeting in one cell. The links' components come fr
 their class.
 
 Similarity: similar() links classes by the Jaccard similarity of their texts' shingles. Fingerprints propose: what their
-links connect is a block, whose classes meet in one task, each with its set of shingles once, however many links it has. There
+links connect in some keys is a star of the smallest class, and the stars of a class are a block. Its classes meet in one
+task, each with its set of shingles once, however many links it has. There
 every two within max_bits are compared on the sets themselves, but for those that links connect already, and a spanning
 forest of the verified links is emitted. Blocks of over BLOCK classes or BLOCK_BYTES are dealt out to cells like keys.
 
@@ -419,8 +420,9 @@ def similar(
     (prints, _), (classes, _) = _classes(df, doc_id, text, size, lanes)
     classes_of = classes.where("node is not null").select("node", "fp")
     proposed, path = common.materialise(links(classes_of, max_bits, lanes, segments, run, stars=True))
-    blocks, blocks_path = common.materialise(graph.components(proposed).withColumnRenamed("component", "block"))
-    sets = _sets(df, blocks.select("node"), doc_id, text, size)
+    # every two classes that a key proposes are in one star
+    blocks = proposed.select(F.col("u").alias("node"), F.col("v").alias("block")).union(proposed.select("v", "v").distinct())
+    sets = _sets(df, blocks.select("node").distinct(), doc_id, text, size)
     members, members_path = common.materialise(blocks.join(classes_of, "node").join(sets, "node"))
     held = F.sum(F.aggregate("sets", F.lit(0).cast("long"), lambda n, x: n + F.length(x)))
     chunks = F.ceil(F.greatest(F.count(F.lit(1)) / block, held / BLOCK_BYTES)).cast("int")
@@ -433,7 +435,7 @@ def similar(
     together = dealt.repartition("block", "cell").sortWithinPartitions("block", "cell")
     found, found_path = common.materialise(_alike(together, similarity, max_bits, lanes).distinct(), BATCH_BYTES)
     out = _components(prints, classes, found)
-    common.discard(spark, path, blocks_path, members_path, large_path, found_path)
+    common.discard(spark, path, members_path, large_path, found_path)
     return out
 
 
